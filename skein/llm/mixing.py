@@ -148,7 +148,8 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
         .withColumn("lo", F.greatest("first", F.col("block") * block_tokens))
         .select("source", "block", "doc_id", (F.col("lo") - F.col("first")).alias("from_token"), (F.least(last, (F.col("block") + 1) * block_tokens) - F.col("lo")).alias("n_tokens"))
     )
-    return drawn.join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_id", "from_token", "n_tokens")
+    # the planner takes the drawn slots for few, as they come from a short range: both sides are shuffled
+    return drawn.hint("merge").join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_id", "from_token", "n_tokens")
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
