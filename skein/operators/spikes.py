@@ -147,7 +147,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         s = Flat(b)
         tails = s.col["tail"].dictionary_encode()
-        key = tails.indices.to_numpy().astype(np.int64) * 4096 + s.var
+        var, code = np.unique(s.var, return_inverse=True)
+        key = tails.indices.to_numpy().astype(np.int64) * len(var) + code
         d = s.steps()
         use = s.owned & (d > 0) & np.isfinite(d)
         pair, n = np.unique(np.stack((key[s.row[use]], _cell(d[use]))), axis=1, return_counts=True) if use.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
@@ -166,7 +167,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vals = tails.dictionary
         all_key = np.concatenate((pair[0], key))
         yield pa.RecordBatch.from_arrays(
-            [vals.take(pa.array(all_key // 4096)), pa.array((all_key % 4096).astype(np.int32)), pa.array(np.concatenate((pair[1], np.full(len(key), -1)))),
+            [vals.take(pa.array(all_key // len(var))), pa.array(var[all_key % len(var)], pa.int32()), pa.array(np.concatenate((pair[1], np.full(len(key), -1)))),
              pa.array(np.concatenate((n.astype(float), w))), pa.array(np.concatenate((np.zeros(len(n)), w * med))), pa.array(np.concatenate((np.zeros(len(n)), w * phi)))],
             ["tail", "var_no", "cell", "n", "mu", "phi"],
         )
