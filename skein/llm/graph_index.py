@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LINKS, BUILD_BEAM, SEARCH_BEAM, BATCH = 12, 40, 48, 256
+LINKS, BUILD_BEAM, SEARCH_BEAM, BATCH = 12, 32, 32, 256
 
 
 def _dist(vecs: np.ndarray, sq: np.ndarray, q: np.ndarray, qs: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -97,6 +97,17 @@ def _link_back(vecs, sq, adj, new, chosen):
     incoming = np.full((len(target), most), -1, np.int32)
     take = slot < most
     incoming[np.repeat(np.arange(len(target)), n)[take], slot[take]] = src[take]
+    # peers of one batch may have chosen each other: a neighbour is listed once
+    for k in range(most):
+        incoming[(adj[target] == incoming[:, k : k + 1]).any(1), k] = -1
+    order = np.argsort(incoming < 0, axis=1, kind="stable")
+    incoming = np.take_along_axis(incoming, order, 1)
+    # lists with room just take them
+    used = (adj[target] >= 0).sum(1)
+    fits = used + (incoming >= 0).sum(1) <= adj.shape[1]
+    r, c = np.nonzero((incoming >= 0) & fits[:, None])
+    adj[target[r], used[r] + c] = incoming[r, c]
+    target, incoming = target[~fits], incoming[~fits]
     for i in range(0, len(target), 2 * BATCH):
         t = target[i : i + 2 * BATCH]
         cand = np.concatenate((adj[t], incoming[i : i + 2 * BATCH]), 1)
@@ -104,14 +115,6 @@ def _link_back(vecs, sq, adj, new, chosen):
         dd = np.where(cand >= 0, _dist(vecs, sq, q, sq[t], np.maximum(cand, 0)), np.inf)
         o = np.argsort(dd, axis=1, kind="stable")
         cand, dd = np.take_along_axis(cand, o, 1), np.take_along_axis(dd, o, 1)
-        # peers of one batch may have chosen each other: a neighbour is listed once
-        s = np.sort(cand, axis=1)
-        if ((s[:, 1:] == s[:, :-1]) & (s[:, 1:] >= 0)).any():
-            for k in range(1, cand.shape[1]):
-                twice = (cand[:, :k] == cand[:, k : k + 1]).any(1) & (cand[:, k] >= 0)
-                cand[twice, k], dd[twice, k] = -1, np.inf
-            o = np.argsort(dd, axis=1, kind="stable")
-            cand, dd = np.take_along_axis(cand, o, 1), np.take_along_axis(dd, o, 1)
         adj[t] = choose(vecs, cand, dd, adj.shape[1])
 
 
@@ -159,15 +162,16 @@ class Graph:
         q = v[new]
         peers = np.maximum(sq[new][:, None] + sq[new][None] - 2 * q @ q.T, 0)
         np.fill_diagonal(peers, np.inf)
-        k = min(len(new), links + 4)
+        k = min(len(new), links // 2 + 4)
         mine = np.argpartition(peers, k - 1, axis=1)[:, :k] if k < len(new) else np.tile(np.arange(len(new)), (len(new), 1))
         pd = np.take_along_axis(peers, mine, 1)
         cand = np.concatenate((ids, np.where(np.isfinite(pd), new[mine], -1).astype(np.int32)), 1)
         dd = np.concatenate((ds, pd), 1)
         o = np.argsort(dd, axis=1, kind="stable")
         cand, dd = np.take_along_axis(cand, o, 1), np.take_along_axis(dd, o, 1)
-        chosen = choose(v, cand, dd, links)
-        adj[new] = chosen
+        # half of a list is chosen; the other half is left for those that choose this vector
+        chosen = choose(v, cand, dd, links // 2)
+        adj[new, : links // 2] = chosen
         _link_back(v, sq, adj, new, chosen)
 
     def _enter(self, q: np.ndarray, have: int) -> np.ndarray:

@@ -20,7 +20,7 @@ from skein.llm.graph_index import SEARCH_BEAM, Graph
 from skein.session import lookup_join, materialize
 
 #: Vectors of a shard; the bounded sample that centroids are fitted on; queries that one task puts to a shard.
-SHARD_ROWS, FIT_ROWS, CHUNK_QUERIES = 8_000, 20_000, 8_000
+SHARD_ROWS, FIT_ROWS, CHUNK_QUERIES = 20_000, 20_000, 8_000
 #: Candidates of each shard that are measured exactly.
 SPARE = 5
 INDEX = "shard long, ids array<long>, vecs array<double>, rows array<int>, shape array<int>, links array<int>"
