@@ -83,7 +83,7 @@ def p6_counted(spark, d):
 def p6_daily_counted(spark, d):
     """The same for each label and day."""
     readings, sensors = read_table(spark, d, "readings"), read_table(spark, d, "sensors")
-    return quantiles.within_bounds(readings, sensors, materialize(quantiles.percentiles(readings, sensors)))
+    return quantiles.within_bounds(readings, sensors, materialize(quantiles.percentiles(readings, sensors))).withColumn("day", F.col("day").cast("string"))
 
 
 def p7_found(spark, d):
@@ -105,7 +105,7 @@ SQL = {
     "p5_found": _NEAREST + "select distinct least(a, b) item_a, greatest(a, b) item_b from n where r <= 5",
     "p5_neighbours": _NEAREST + "select a item, b neighbour, r rank from n where r <= 5",
     "p6_counted": _COUNTED + "select label, count(*) n, true bounded from d join sensors using (var_no) group by 1",
-    "p6_daily_counted": _COUNTED + "select label, ts::date as day, count(*) n, true bounded from d join sensors using (var_no) group by 1, 2",
+    "p6_daily_counted": _COUNTED + "select label, strftime(ts, '%Y-%m-%d') as day, count(*) n, true bounded from d join sensors using (var_no) group by 1, 2",
     "p7_found": _SIMILAR + "select a rec_a, b rec_b from s",
     "p7_groups": _SIMILAR.replace("with v", "with recursive v", 1) + """, e as (select a, b from s union select b, a from s),
 r(rec_id, root) as (select rec_id, rec_id from n union select e.b, r.root from r join e on e.a = r.rec_id where r.root < e.b)
