@@ -116,6 +116,7 @@ def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str) ->
                     spans.append((d, int(s.offs[d]), int(s.offs[d + 1]), 0))
                 continue
             a, end = int(first[d]), int(first[d + 1])
+            cut = a
             while cum[end] - cum[a] > limit:
                 lo, hi = np.searchsorted(where, [cum[a] + int(limit * LEAST_FILL), cum[a] + limit], "right")
                 hi = min(hi, int(np.searchsorted(tok, end)))
@@ -123,7 +124,7 @@ def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str) ->
                     best = lo + int(np.argmax(score[lo:hi]))
                     cut, k = int(tok[best]), int(kind[best])
                 else:
-                    lo = int(np.searchsorted(tok, a, "right"))
+                    lo = int(np.searchsorted(tok, cut, "right"))
                     if hi > lo:  # only small pieces can end naturally
                         cut, k = int(tok[hi - 1]), int(kind[hi - 1])
                     else:
@@ -150,8 +151,10 @@ def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, v
 
     A text within the limit is one piece. Pieces run from start_char up to end_char (characters from 0); cut names the
     boundary at the end: section, paragraph, formula, sentence, token (no natural boundary fits) or end (of the text).
-    Neighbours share up to overlap tokens, and no fewer than that less one pre-token. Null and empty texts give no
-    piece; repeated rows are split each for themselves. Other columns are not read.
+    Neighbours share up to overlap tokens, and no fewer than that less one pre-token; within a pre-token of more than
+    a quarter of the limit (a number or word of hundreds of characters) that is counted over short spans and so is
+    approximate. Null and empty texts give no piece; repeated rows are split each for themselves. Other columns are
+    not read.
     """
     if not 0 <= overlap < limit * LEAST_FILL / 2 or limit < 32:
         raise ValueError("limit must be 32 or more and overlap less than a quarter of it")
