@@ -53,11 +53,15 @@ def _cohesion(s: Slice, cuts: np.ndarray, doc: np.ndarray) -> np.ndarray:
     edges = np.searchsorted(a, np.concatenate((cuts, [len(u)])))
     pre = np.zeros((len(cuts) + 1, DIMS), np.float32)
     unit = np.searchsorted(cuts, a, "right")
-    signs = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1
     filled = np.flatnonzero(np.diff(np.concatenate(([0], edges))) > 0)
     if len(a):
+        # words are summed eight counters to a machine word, in runs short enough not to overflow a byte
         first = np.searchsorted(unit, filled)
-        pre[filled] = np.add.reduceat(signs, first, axis=0)
+        runs = np.unique(np.concatenate((first, np.arange(0, len(a), 200))))
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+        ones = np.add.reduceat(bits, runs, axis=0).view(np.uint8).astype(np.float32)
+        size = np.diff(np.concatenate((runs, [len(a)]))).astype(np.float32)
+        np.add.at(pre, unit[runs], 2 * ones - size[:, None])
     cum = np.concatenate((np.zeros((1, DIMS), np.float32), np.cumsum(pre, axis=0, dtype=np.float64).astype(np.float32)))
     k = np.arange(len(cuts))
     lo, hi = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
@@ -73,8 +77,12 @@ def _cohesion(s: Slice, cuts: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return peak_l + peak_r - 2 * sim
 
 
-def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str) -> list[tuple[int, int, int, int, int, int]]:
-    """(text, piece, first unit, end unit, tokens, kind of the cut at its end), in order."""
+def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str, careful: bool = False) -> list[tuple[int, int, int, int, int, int]]:
+    """(text, piece, first unit, end unit, tokens, kind of the cut at its end), in order.
+
+    Sizes are sums over pre-tokens, and every piece is counted by itself in the end. A text with a piece that is larger
+    than its sum and so beyond the limit is split once more with each piece counted as it is cut (careful).
+    """
     out = []
     c = counter(vocabulary)
     for i0, _, part in slices(texts):
@@ -129,7 +137,7 @@ def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str) ->
                         cut, k = int(tok[hi - 1]), int(kind[hi - 1])
                     else:
                         cut, k = max(a + 1, int(np.searchsorted(cum, cum[a] + limit, "right")) - 1), 1
-                while True:
+                while careful:
                     text = s.joined[starts[a] : starts[cut]]
                     if cut == a + 1 or len(text) <= limit // 4 or count_tokens([text], vocabulary)[0] <= limit:
                         break
@@ -138,8 +146,13 @@ def split_texts(texts: list[str], limit: int, overlap: int, vocabulary: str) ->
                 a = max(a + 1, min(cut, int(np.searchsorted(cum, cum[cut] - overlap, "left"))))
             spans.append((d, int(starts[a]), int(s.offs[d + 1]), 0))
         tokens = count_tokens([s.joined[a:b] for _, a, b, _ in spans], vocabulary)
+        over = {spans[i][0] for i in np.flatnonzero(tokens > limit).tolist()} if not careful else set()
+        again = {d: split_texts([part[d]], limit, overlap, vocabulary, True) for d in over}
         no, before = 0, -1
         for (d, a, b, k), t in zip(spans, tokens.tolist()):
+            if d in over:
+                out.extend((i0 + d, *row[1:]) for row in again.pop(d, []))
+                continue
             no = no + 1 if d == before else 0
             before = d
             out.append((i0 + d, no, a - int(s.offs[d]), b - int(s.offs[d]), t, k))
