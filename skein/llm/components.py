@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skein.session import materialize, release
 
 #: An item with more edges than this (and more than a thousandth of all edges) is hot: its join is salted.
-HOT_EDGES = 200_000
+HOT_EDGES = 2_000_000
 MAX_ROUNDS = 60
 
 
@@ -30,38 +30,43 @@ def _hop(edges: DataFrame, least_self: bool, total: int, hot_edges: int) -> Data
     return salted.join(spread.select("u", "salt", "m"), ["u", "salt"]).select("u", "v", "m")
 
 
+def _either(a: tuple, b: tuple):
+    """Two (u, v) rows for each row, in one pass over the data."""
+    row = lambda x: F.struct(F.col(x[0]).alias("u"), F.col(x[1]).alias("v"))
+    return F.inline(F.array(row(a), row(b)))
+
+
 def large_star(edges: DataFrame, total: int, hot_edges: int) -> DataFrame:
     """Link every larger neighbour of an item to the least of the item and its neighbours."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.select(_either(("u", "v"), ("v", "u")))
     return _hop(both, True, 2 * total, hot_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame, total: int, hot_edges: int) -> DataFrame:
     """Link an item and its smaller neighbours to the least of them; edges have u > v."""
-    linked = _hop(edges, False, total, hot_edges)
-    out = linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(linked.select("u", F.col("m").alias("v")))
-    return out.distinct()
+    return _hop(edges, False, total, hot_edges).select(_either(("v", "m"), ("u", "m"))).where("u <> v").distinct()
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r["n"], int(r["h"] or 0)
+def _write(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """The edges written to the shared folder, with their number and a sum of their hashes, taken while writing."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+    return table, (seen.get["n"], int(seen.get["h"] or 0))
 
 
 def star_labels(edges: DataFrame, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(u, v): each item that is not its component's least, with that least item. edges: (u, v) with u > v, distinct.
 
-    Every round is written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+    Every rewrite is written to the shared folder: lineage stays short and a lost executor costs one rewrite at most.
     """
-    now = materialize(edges)
-    state = _state(now)
+    now, state = _write(edges)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             return now
-        wide = materialize(large_star(now, state[0], hot_edges))
-        after = materialize(small_star(wide, _state(wide)[0], hot_edges))
+        wide, (n, _) = _write(large_star(now, state[0], hot_edges))
+        after, new = _write(small_star(wide, n, hot_edges))
         release(now, wide)
-        now, before, state = after, state, _state(after)
+        now, before, state = after, state, new
         if state == before:
             return now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
