@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.config import ShingleConfig
+from skein.functions.encode import literals
 
 
 def digits_code(enc: Column, offset: int, code_len: int) -> Column:
@@ -21,11 +22,9 @@ def substring_codes(encoded: DataFrame, offsets: list[int], code_len: int, enc:
 
 def draw_code(counts: Column, draws: list[float], n_shingles: int) -> Column:
     """The first draw whose fraction is below the weight of the shingle it points to; null if none is."""
-    out = F.lit(None).cast("long")
-    for j in range(len(draws) - 1, -1, -1):
-        whole = int(draws[j])
-        out = F.when(F.lit(draws[j] - whole) < F.get(counts, F.lit(whole)) / F.lit(float(n_shingles)), F.lit(j).cast("long")).otherwise(out)
-    return out
+    whole, part = [int(x) for x in draws], [x - int(x) for x in draws]
+    taken = F.filter(F.sequence(F.lit(0), F.lit(len(draws) - 1)), lambda j: F.get(literals(part), j) < F.get(counts, F.get(literals(whole), j)) / F.lit(float(n_shingles)))
+    return F.get(taken, F.lit(0)).cast("long")
 
 
 def draw_codes(counted: DataFrame, cfg: ShingleConfig, counts: str = "counts") -> DataFrame:

@@ -33,12 +33,15 @@ def collision_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("id1", "id2").agg(F.count("*").alias("n_tables"))
 
 
-def verify(pairs: DataFrame, encoded: DataFrame, measure, enc: str = "enc") -> DataFrame:
-    """(id1, id2, sim): each distinct pair once, with its encodings fetched by id and measured."""
-    one = pairs.select("id1", "id2").distinct()
+def verify(pairs: DataFrame, encoded: DataFrame, measure, enc: str = "enc", keep: list[str] | None = None) -> DataFrame:
+    """(id1, id2, [keep...,] sim): each distinct pair once, with its encodings fetched by id and measured.
+
+    With `keep` the pairs are distinct already and bring those columns along.
+    """
+    one = pairs.select("id1", "id2").distinct() if keep is None else pairs.select("id1", "id2", *keep)
     a = encoded.select(F.col("item").alias("id1"), F.col(enc).alias("enc1"))
     b = encoded.select(F.col("item").alias("id2"), F.col(enc).alias("enc2"))
-    return one.join(a, "id1").join(b, "id2").select("id1", "id2", measure("enc1", "enc2").alias("sim"))
+    return one.join(a, "id1").join(b, "id2").select("id1", "id2", *(keep or []), measure("enc1", "enc2").alias("sim"))
 
 
 def matrix(sims: DataFrame, items: DataFrame) -> DataFrame:

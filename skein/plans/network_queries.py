@@ -13,6 +13,7 @@ from skein.config import BREAKPOINTS, ClipConfig, SaxConfig, ShingleConfig
 from skein.functions import encode, hashing, similarity
 from skein.operators import network, stats
 from skein.operators.network import as_text
+from skein.plans.sweep import codes_of, encoded, measure_of, network_of
 from skein.session import materialize, read_table, shared_dir
 from skein.sources import series as src
 from skein.streaming.pairs import pairs_available_now
@@ -20,8 +21,9 @@ from skein.streaming.pairs import pairs_available_now
 CLIP = ClipConfig(elements=64, threshold=0.0, offsets=[0, 9, 19, 31, 46], code_len=10, growth=0.1)
 SAX = SaxConfig(elements=40, mean=49.63, sd=49.10, segment=4, alphabet=5, offsets=[0, 3, 6], code_len=4)
 _PROJ = [((37 * j + 11) % 101) / 101.0 - 0.5 for j in range(8)]
-_DRAWS = [[16 * (((7919 * i + 104729 * j + 13) % 10007) / 10007.0) for j in range(8)] for i in range(5)]
-SHINGLE = ShingleConfig(elements=64, projection=_PROJ, stride=2, shingle_bits=4, shingle_stride=1, draws=_DRAWS)
+# eight bits make 256 shingles, so that unlike series seldom share a code and buckets stay small
+_DRAWS = [[256 * (((7919 * i + 104729 * j + 13) % 10007) / 10007.0) for j in range(128)] for i in range(5)]
+SHINGLE = ShingleConfig(elements=64, projection=_PROJ, stride=2, shingle_bits=8, shingle_stride=1, draws=_DRAWS)
 
 
 # sources and statistics
@@ -77,10 +79,7 @@ def _clip_codes(spark, d):
 
 
 def _clip_sims(spark, d):
-    # the encodings are read three times: once for the codes and once for either end of a pair
-    enc = materialize(_clip(spark, d))
-    pairs = network.candidate_pairs(hashing.substring_codes(enc, CLIP.offsets, CLIP.code_len))
-    return network.verify(pairs, enc, lambda a, b: similarity.run_length(a, b, CLIP.growth))
+    return network_of(src.series_embeddings(spark, d), CLIP)
 
 
 def abc_encode(spark, d):
@@ -113,12 +112,16 @@ def abc_similarity(spark, d):
     return _clip_sims(spark, d).select("id1", "id2", F.round("sim", 6).alias("sim"))
 
 
+def _with_tables(series, cfg):
+    """The network of series with the number of tables in which each pair collided."""
+    enc = materialize(encoded(series, cfg))
+    counted = network.collision_counts(network.candidate_pairs(codes_of(enc, cfg)))
+    return network.verify(counted, enc, measure_of(cfg), keep=["n_tables"])
+
+
 def similarity_network_abc(spark, d):
-    """The network with the number of tables in which each pair collided."""
-    enc = materialize(_clip(spark, d))
-    counted = network.collision_counts(network.candidate_pairs(hashing.substring_codes(enc, CLIP.offsets, CLIP.code_len)))
-    sims = network.verify(counted, enc, lambda a, b: similarity.run_length(a, b, CLIP.growth))
-    return sims.join(counted, ["id1", "id2"]).select("id1", "id2", "n_tables", F.round("sim", 6).alias("sim"))
+    """The network of the binary clips, with the number of tables in which each pair collided."""
+    return _with_tables(src.series_embeddings(spark, d), CLIP).select("id1", "id2", "n_tables", F.round("sim", 6).alias("sim"))
 
 
 # symbols
@@ -131,8 +134,7 @@ def _sax_codes(spark, d):
 
 
 def _sax_sims(spark, d):
-    enc = materialize(_sax(spark, d))
-    return network.verify(network.candidate_pairs(hashing.substring_codes(enc, SAX.offsets, SAX.code_len)), enc, lambda a, b: similarity.mindist(a, b, SAX))
+    return network_of(src.series_events(spark, d), SAX)
 
 
 def sax_paa(spark, d):
@@ -167,10 +169,7 @@ def sax_mindist(spark, d):
 
 
 def similarity_network_sax(spark, d):
-    enc = materialize(_sax(spark, d))
-    counted = network.collision_counts(network.candidate_pairs(hashing.substring_codes(enc, SAX.offsets, SAX.code_len)))
-    sims = network.verify(counted, enc, lambda a, b: similarity.mindist(a, b, SAX))
-    return sims.join(counted, ["id1", "id2"]).select("id1", "id2", "n_tables", F.round("sim", 6).alias("dist"))
+    return _with_tables(src.series_events(spark, d), SAX).select("id1", "id2", "n_tables", F.round("sim", 6).alias("dist"))
 
 
 # shingles
@@ -210,13 +209,11 @@ def ssh_buckets(spark, d):
 
 
 def ssh_candidate_pairs(spark, d):
-    """Pairs by table and code; codes are few here, so buckets are large by nature."""
     return network.candidate_pairs(_ssh_codes(spark, d))
 
 
 def _ssh_sims(spark, d):
-    sets = materialize(_grams(spark, d).select("item", F.array_distinct("grams").alias("enc"), encode.shingle_counts("grams", SHINGLE).alias("counts")))
-    return network.verify(network.candidate_pairs(hashing.draw_codes(sets, SHINGLE)), sets, similarity.jaccard)
+    return network_of(src.series_embeddings(spark, d), SHINGLE)
 
 
 def ssh_jaccard(spark, d):
@@ -224,9 +221,7 @@ def ssh_jaccard(spark, d):
 
 
 def similarity_network_ssh(spark, d):
-    sets = materialize(_grams(spark, d).select("item", F.array_distinct("grams").alias("enc"), encode.shingle_counts("grams", SHINGLE).alias("counts")))
-    counted = network.collision_counts(network.candidate_pairs(hashing.draw_codes(sets, SHINGLE)))
-    return network.verify(counted, sets, similarity.jaccard).join(counted, ["id1", "id2"]).select("id1", "id2", "n_tables", F.round("sim", 6).alias("sim"))
+    return _with_tables(src.series_embeddings(spark, d), SHINGLE).select("id1", "id2", "n_tables", F.round("sim", 6).alias("sim"))
 
 
 # matrices and reports
@@ -251,9 +246,8 @@ def similarity_normalized(spark, d):
 
 def report_lines(spark, d):
     enc = materialize(_sax(spark, d))
-    codes = hashing.substring_codes(enc, SAX.offsets, SAX.code_len)
-    sims = network.verify(network.candidate_pairs(codes), enc, lambda a, b: similarity.mindist(a, b, SAX))
-    return network.report_lines(sims, network.buckets(codes), SAX.code_len)
+    codes = codes_of(enc, SAX)
+    return network.report_lines(network.verify(network.candidate_pairs(codes), enc, measure_of(SAX)), network.buckets(codes), SAX.code_len)
 
 
 def report_parse(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +53,14 @@ def series_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_events(spark: SparkSession, sf_dir: str, elements: int = 40) -> DataFrame:
-    """(item, vals): each user's first values in order of time; users with fewer are left out."""
-    rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    per = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("item")).agg(F.transform(rows, lambda s: s["value"]).alias("vals"))
+    """(item, vals): each user's first values in order of time; users with fewer are left out.
+
+    Only the first `elements` rows of a user leave the map side, however many a user has.
+    """
+    first = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    head = read_table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("pos", first).where(F.col("pos") <= elements)
+    rows = F.array_sort(F.collect_list(F.struct("pos", "value")))
+    per = head.groupBy(F.col("user_id").alias("item")).agg(F.transform(rows, lambda s: s["value"]).alias("vals"))
     return per.select("item", window("vals", 0, elements).alias("vals")).where("vals is not null")
 
 

@@ -138,3 +138,11 @@ def test_reported_golden_pairs_stay_within_buckets(spark):
     lines = ["hash code size is 3", "bucket 3 10 1 3", "bucket 1 100 1 3", "bucket 2 0 1 3", "bucket 3 0 2", "sim 1 3 7.715611", "sim 1 3 7.715611", "sim 1 3 7.715611"]
     sims = network.parse_report(spark.createDataFrame([(x,) for x in lines], "line string"))
     assert sims.count() == 3 and [tuple(r) for r in network.deduplicate(sims).collect()] == [(1, 3, 7.715611)]
+
+
+def test_sweep(spark, toy):
+    from skein.plans.sweep import sweep
+
+    configs = [ClipConfig(6, 2.0, [0, 1, 3], 3, 0.1), SaxConfig(9, 4.5, 0.1, 2, 3, [0, 1, 2], 2), ShingleConfig(9, families.projection(3, 1), 1, 2, 1, families.draws(5, 2, 1))]
+    got = sweep(spark, toy, configs).orderBy("trial").collect()
+    assert [(r.method, r.n_pairs) for r in got[:2]] == [("clip", 1), ("sax", 3)] and got[2].method == "shingle"
