@@ -218,6 +218,8 @@ def test_sets_of_alike_matrices(spark, bucket):
     rows += [(900, [float(z) for z in b])]
     got = {tuple(x) for x in clusters.alike_sets(mats(spark, rows), bucket=bucket).collect()}
     assert got == brute_sets(rows) and got
+    copies = rows + [(2000 + i, rows[3][1]) for i in range(50)] + [(3000 + i, [float(k == 5) for k in range(378)]) for i in range(4)]
+    assert {tuple(x) for x in clusters.alike_sets(mats(spark, copies), bucket=bucket).collect()} == brute_sets(copies)
     blocks = {tuple(x) for x in clusters.alike_sets(mats(spark, rows), rows=3).collect()}
     assert blocks == got
 
