@@ -23,7 +23,7 @@ from skein.session import lookup_join, materialize
 
 #: Sensors that rest by nature: their equal readings are no fault (for the last four only zeros).
 RESTING, RESTING_AT_ZERO = ("PH", "WOW"), ("VIB_1", "VIB_2", "VIB_3", "VIB_4")
-STUCK_RUN, SPIKE_RUN, STEPS = 6, 3, 15.0
+STUCK_RUN, SPIKE_RUN, STEPS, ROUNDS = 6, 3, 15.0, 3
 #: A series longer than this is worked on in overlapping segments, so no task holds an unbounded series.
 SEGMENT, HALO = 200_000, 16
 NONE, LIMIT, STUCK, SPIKE, SHIFT = range(5)
@@ -187,6 +187,40 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([s.col["tail"].take(pa.array(s.row[use])), s.col["var_no"].take(pa.array(s.row[use])), pa.array(cell[keep]), pa.array(d[use])], ["tail", "var_no", "cell", "d"])
 
 
+def _innovations(x, t, p, m, live) -> tuple[np.ndarray, np.ndarray]:
+    """Where a residual of the autoregression may stand for a jump of more than t up or down.
+
+    A residual is the jump itself plus the pull back to the mean, (1 - p) |x - m| at most; the test is widened by that
+    pull, so that no jump of more than t fails it.
+    """
+    res, pull = np.zeros(len(x)), np.zeros(len(x))
+    res[1:] = (x[1:] - m[1:]) - p[1:] * (x[:-1] - m[1:])
+    pull[1:] = (1 - p[1:]) * np.abs(x[:-1] - m[1:])
+    return live & (res > t - pull), live & (res < pull - t)
+
+
+def _outliers(x, up, down, t, off, offs_end) -> np.ndarray:
+    """Additive outliers: patches between opposite innovations, then tested exactly against both neighbours."""
+    spike = np.zeros(len(x), bool)
+    for k in range(1, SPIKE_RUN + 1):
+        for enter, leave, sign in ((up, down, 1.0), (down, up, -1.0)):
+            i = np.flatnonzero(enter)
+            i = i[i + k < offs_end[i]]
+            i = i[leave[i + k]]
+            inside = i[:, None] + np.arange(-1, k + 1)
+            v = sign * x[inside]
+            ok = (v[:, 1:-1].min(1) - np.maximum(v[:, 0], v[:, -1]) > t[i]) & ~off[inside].any(1)
+            spike[inside[ok][:, 1:-1].ravel()] = True
+    return spike
+
+
+def _beside(x, spike, s: Flat) -> np.ndarray:
+    """For each reading the last one before it, in its series, that is no spike."""
+    at = np.where(spike, -1, np.arange(len(x)))
+    last = np.maximum.accumulate(at)
+    return np.where(last >= s.offs[s.row], x[np.maximum(last, 0)], x)
+
+
 def judge(s: Flat, lo, hi, step, mu, phi, rests, rests_zero) -> np.ndarray:
     """The kind of each reading; the parameters are arrays per packed row."""
     x, row, n = s.x, s.row, len(s.x)
@@ -202,33 +236,29 @@ def judge(s: Flat, lo, hi, step, mu, phi, rests, rests_zero) -> np.ndarray:
         stuck = np.repeat(length, length) >= STUCK_RUN
         stuck &= ~rests[row] & ~(rests_zero[row] & (x == 0))
         off = limit | stuck
-        # residuals of the autoregression; pull is the most that mean reversion can take from a jump
-        t, p, m = STEPS * step[row], phi[row], mu[row]
-        res, pull = np.zeros(n), np.zeros(n)
-        res[1:] = (x[1:] - m[1:]) - p[1:] * (x[:-1] - m[1:])
-        pull[1:] = (1 - p[1:]) * np.abs(x[:-1] - m[1:])
-        live = s.inner & ~rests[row]
-        up, down = live & (res > t - pull), live & (res < pull - t)
-        spike = np.zeros(n, bool)
+        t, live = STEPS * step[row], s.inner & ~rests[row]
         offs_end = s.offs[row + 1]
-        left = np.zeros(n, bool)
+        spike, clean = np.zeros(n, bool), x
+        for _ in range(ROUNDS):
+            up, down = _innovations(clean, t, phi[row], mu[row], live)
+            found = _outliers(x, up, down, t, off, offs_end) & ~spike
+            if not found.any():
+                break
+            # what was found is replaced by what stands beside it, and the rest is tested again
+            spike |= found
+            clean = np.where(spike, _beside(x, spike, s), x)
+        jumped = np.zeros(n)
+        jumped[1:] = np.abs(np.diff(clean))
+        # a large innovation that no later one takes back within a few readings moves the level
+        shift = (up | down) & (jumped > t) & ~spike & ~off
         for k in range(1, SPIKE_RUN + 1):
-            for enter, leave, sign in ((up, down, 1.0), (down, up, -1.0)):
-                i = np.flatnonzero(enter)
+            for one, other in ((up, down), (down, up)):
+                i = np.flatnonzero(one & shift)
                 i = i[i + k < offs_end[i]]
-                i = i[leave[i + k]]
-                left[i] = True
-                # the nominated patch, tested exactly against both neighbours
-                inside = i[:, None] + np.arange(-1, k + 1)
-                v = sign * x[inside]
-                ok = (v[:, 1:-1].min(1) - np.maximum(v[:, 0], v[:, -1]) > t[i]) & ~off[inside].any(1)
-                spike[(inside[ok][:, 1:-1]).ravel()] = True
-        shift = (up | down) & ~left & ~off
-        prev = np.zeros(n, bool)
-        prev[1:] = spike[:-1]
-        jumped = np.zeros(n)
-        jumped[1:] = np.abs(np.diff(x))
-        kind[shift & ~spike & ~prev & (jumped > t)] = SHIFT
+                back = i[other[i + k] & (jumped[i + k] > t[i])]
+                shift[back] = False
+                shift[back + k] = False
+        kind[shift] = SHIFT
     kind[spike], kind[stuck], kind[limit] = SPIKE, STUCK, LIMIT
     return kind
 

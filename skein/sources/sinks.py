@@ -11,6 +11,11 @@ def write_series(series: DataFrame, path: str, encoding: str) -> None:
     series.withColumn("encoding", F.lit(encoding)).write.partitionBy("encoding", "flight").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def write_variables(long: DataFrame, path: str) -> None:
+    """The long table (flight, variable, ts, value) parted by variable; a rerun replaces it."""
+    long.write.partitionBy("variable").mode("overwrite").parquet(path)
+
+
 def write_series_text(series: DataFrame, path: str) -> None:
     """One line per variable, values parted by blanks, in files by flight."""
     line = F.concat_ws(" ", F.col("vals").cast("array<string>")).alias("value")

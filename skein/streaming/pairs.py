@@ -12,8 +12,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 class PairEmitter(StatefulProcessor):
     """Keeps the members of one (table_id, code) bucket; each arrival is paired with all earlier members."""
 
+    def __init__(self, ttl_ms: int | None = None):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.members = handle.getListState("members", "item long")
+        self.members = handle.getListState("members", "item long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [int(m[0]) for m in self.members.get()] if self.members.exists() else []
@@ -35,14 +38,14 @@ class PairEmitter(StatefulProcessor):
         pass
 
 
-def stream_pairs(codes: DataFrame) -> DataFrame:
+def stream_pairs(codes: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """(table_id, code, id1, id2) of a stream of codes (item, table_id, code); needs the RocksDB state store.
 
     Pairs are oriented id1 < id2, whatever the order of arrival, so the union of all batches is what candidate_pairs()
-    gives for the whole. An item that arrives again in a bucket gives no new pairs. State has no end: members are kept
-    for the life of the query.
+    gives for the whole. An item that arrives again in a bucket gives no new pairs. Members are kept for the life of the
+    query, unless ttl_ms lets them go after that time.
     """
-    return codes.groupBy("table_id", "code").transformWithStateInPandas(PairEmitter(), "table_id int, code long, id1 long, id2 long", "append", "none")
+    return codes.groupBy("table_id", "code").transformWithStateInPandas(PairEmitter(ttl_ms), "table_id int, code long, id1 long, id2 long", "append", "none" if ttl_ms is None else "processingTime")
 
 
 def pairs_available_now(codes: DataFrame, out_dir: str, checkpoint_dir: str) -> DataFrame:

@@ -85,6 +85,13 @@ def test_level_shift_is_no_spike(spark):
     assert [r.kind for r in S.flag_readings(df, sensors).collect()] == ["level_shift"]
 
 
+def test_spike_beside_a_shift(spark):
+    """A spike just before a change of level is taken out before the level is judged."""
+    x = [1.0, 1.01] * 10 + [30.0] + [9.0, 9.01] * 10
+    df, sensors, _ = tables(spark, {(1, "a", 1): x})
+    assert {(r.reading_id, r.kind) for r in S.flag_readings(df, sensors).collect()} == {(21, "spike"), (22, "level_shift")}
+
+
 def test_table_edges(spark):
     """Empty tables, nulls and NaN in every column, unknown sensors, one reading, ties in ts."""
     df, sensors, rows = tables(spark, {(1, "a", 1): [1.0, float("nan"), None, 99.0], (None, None, 99): [5.0, 5.5], (2, None, None): [7.0]})
