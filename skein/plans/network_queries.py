@@ -183,7 +183,7 @@ def _counted(spark, d):
 
 
 def _ssh_codes(spark, d):
-    return hashing.draw_codes(_counted(spark, d), SHINGLE)
+    return codes_of(encoded(src.series_embeddings(spark, d), SHINGLE), SHINGLE)
 
 
 def projection_dot(spark, d):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.config import ClipConfig, SaxConfig, ShingleConfig
-from skein.functions import encode, hashing, similarity
+from skein.functions import batched, encode, hashing, similarity
 from skein.operators import network
 from skein.session import materialize, release
 
@@ -17,18 +17,18 @@ Config = ClipConfig | SaxConfig | ShingleConfig
 
 
 def encoded(series: DataFrame, cfg: Config) -> DataFrame:
-    """(item, enc[, counts]): series under the encoding of cfg."""
+    """(item, enc[, codes]): series under the encoding of cfg."""
     if isinstance(cfg, ClipConfig):
         return series.select("item", encode.clip("vals", cfg).alias("enc"))
     if isinstance(cfg, SaxConfig):
         return series.select("item", encode.sax("vals", cfg).alias("enc"))
-    grams = series.select("item", encode.shingles(encode.sketch("vals", cfg), cfg).alias("grams"))
-    return grams.select("item", F.array_distinct("grams").alias("enc"), encode.shingle_counts("grams", cfg).alias("counts"))
+    return batched.shingle_encoding(series, cfg)
 
 
 def codes_of(enc: DataFrame, cfg: Config) -> DataFrame:
     if isinstance(cfg, ShingleConfig):
-        return hashing.draw_codes(enc, cfg)
+        each = enc.select("item", F.posexplode("codes").alias("at", "code")).where("code is not null")
+        return each.select("item", (F.col("at") + 1).alias("table_id"), "code")
     return hashing.substring_codes(enc, cfg.offsets, cfg.code_len)
 
 

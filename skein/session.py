@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
@@ -31,9 +31,10 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back.__dict__["_skein_path"] = path
+    back.__dict__.update(_skein_path=path, _skein_rows=rows.get["n"])
     return back
 
 
@@ -54,7 +55,10 @@ def clean(spark: SparkSession) -> None:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `limit` rows; reads no more than that."""
+    """Whether df has at most `limit` rows; a table made by materialize() knows, of others no more than that is read."""
+    known = df.__dict__.get("_skein_rows")
+    if known is not None:
+        return known <= limit
     return df.limit(limit + 1).count() <= limit
 
 

@@ -1,9 +1,10 @@
 import itertools
+import random
 
 import pytest
 
 from skein.config import BREAKPOINTS, ClipConfig, SaxConfig, ShingleConfig
-from skein.functions import encode, families, hashing, similarity
+from skein.functions import batched, encode, families, hashing, similarity
 from skein.operators import network, stats
 from skein.sources import series as src
 from skein.sources import sinks
@@ -56,6 +57,20 @@ def test_shingles_of_equal_series_agree(toy):
     assert not sims or sims.get((1, 3), 1.0) == 1.0
 
 
+def test_batched_shingles_are_those_of_the_expressions(spark):
+    r = random.Random(1)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.5]) * r.random() for _ in range(20)]) for i in range(50)] + [(90, [1.0] * 19), (91, None), (92, [None] * 20), (93, [0.0] * 25)]
+    series = spark.createDataFrame(rows, "item long, vals array<double>")
+    cfg = ShingleConfig(20, [0.5, -0.25, -0.25], 2, 3, 2, families.draws(4, 3, 7))
+    got = batched.shingle_encoding(series, cfg)
+    use = series.where("size(vals) >= 20 and item <> 92")
+    grams = use.select("item", encode.shingles(encode.sketch("vals", cfg), cfg).alias("grams"))
+    assert {x.item: x.enc for x in got.collect()} == {x.item: sorted(set(x.grams)) for x in grams.collect()}
+    codes = hashing.draw_codes(grams.select("item", encode.shingle_counts("grams", cfg).alias("counts")), cfg)
+    assert {(x.item, t): c for x in got.collect() for t, c in enumerate(x.codes, 1) if c is not None} == codes_of(codes)
+    assert batched.shingle_encoding(series.limit(0), cfg).count() == 0
+
+
 def test_every_bucket_gives_all_its_pairs(spark):
     """Several buckets in one table, hot ones among them: no bucket loses pairs."""
     rows = [(i, 1, i % 3) for i in range(60)] + [(i, 2, 0) for i in range(9)]
