@@ -38,6 +38,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+def row_count(df: DataFrame) -> int:
+    """The number of rows, known for a table made by materialize()."""
+    known = df.__dict__.get("_skein_rows")
+    return df.count() if known is None else known
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that no later plan reads."""
     for df in tables:
