@@ -34,7 +34,7 @@ def materialize(df: DataFrame) -> DataFrame:
     rows = Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
-    back.__dict__.update(_skein_path=path, _skein_rows=rows.get["n"])
+    back.__dict__.update(_skein_path=path, _skein_rows=rows.get.get("n"))
     return back
 
 
