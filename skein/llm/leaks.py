@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from skein.llm.tokens import Slice, mix, slices, span_hash, word_spans
 
 #: Test sets beyond this many characters are searched block by block, each block small enough to send to every task.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 2_000_000
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -17,10 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.graph_index import SEARCH_BEAM, Graph
-from skein.session import lookup_join, materialize
+from skein.session import lookup_join, materialize, row_count
 
 #: Vectors of a shard; the bounded sample that centroids are fitted on; queries that one task puts to a shard.
 SHARD_ROWS, FIT_ROWS, CHUNK_QUERIES = 20_000, 20_000, 8_000
+#: Cells at most, which bounds what every task needs to know of them; beyond that cells hold several shards each.
+MAX_CELLS = 2_000
 #: Candidates of each shard that are measured exactly.
 SPARE = 5
 INDEX = "shard long, ids array<long>, vecs array<double>, rows array<int>, shape array<int>, links array<int>"
@@ -45,6 +47,13 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 5
     return c
 
 
+def _parts(batches, rows: int = 2_000):
+    """Batches in parts that stay small when compared with every centroid."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _vectors(col, dim: int) -> np.ndarray:
     return np.asarray(np.concatenate(col.to_list()) if len(col) else np.zeros(0), float).reshape(-1, dim)
 
@@ -68,15 +77,15 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
     # the k + 1 least items of each class are all that any answer can use
     few = materialize(items.select("k1", "k2", "id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1))
     heads = materialize(items.join(few.where("r = 1").select("id"), "id").select("id", "v"))
-    n = heads.count()
-    cells = max(1, math.ceil(n / shard_rows))
+    n = row_count(heads)
+    cells = min(MAX_CELLS, max(1, math.ceil(n / shard_rows)))
     sample = np.array([r["v"] for r in heads.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], float).reshape(-1, dim)
     cent = fit_centroids(sample, cells) if len(sample) else np.zeros((1, dim))
     c2 = (cent * cent).sum(1)
     gap = np.sqrt(np.maximum(c2[:, None] + c2[None] - 2 * cent @ cent.T, 1e-18))
 
     def cell_of(batches):
-        for b in batches:
+        for b in _parts(batches):
             if b.num_rows:
                 v = b.column(1).flatten().to_numpy().reshape(-1, dim)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((c2[None] - 2 * v @ cent.T).argmin(1).astype(np.int32))], ["id", "v", "cell"])
@@ -118,9 +127,7 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
     reach = first.groupBy("q").agg(F.when(F.count("*") >= k, F.max("d")).otherwise(F.lit(float("inf"))).alias("u"))
 
     def visits(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _parts(batches):
             v = b.column(1).flatten().to_numpy().reshape(-1, dim)
             cell, shard, u = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
             d2 = np.maximum((v * v).sum(1)[:, None] + c2[None] - 2 * v @ cent.T, 0)
