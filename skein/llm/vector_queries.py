@@ -61,7 +61,7 @@ def p5_found(spark, d):
 
 def p5_neighbours(spark, d):
     """The 5 nearest other items of every item, in order."""
-    return neighbours.nearest(read_table(spark, d, "series")).select("item", "neighbour", "rank")
+    return neighbours.nearest(read_table(spark, d, "series")).select("item", "neighbour", F.col("rank").cast("long").alias("rank"))
 
 
 def p6_daily_percentiles(spark, d):
