@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from skein.llm.tokens import mix
 from skein.session import lookup_join
 
-BITS, EXACT_BITS, ROWS, WIDTH = 16, 10, 3, 256
-#: Stated bounds: the rank of an answer is off by at most this part of the number of values, but for one in a thousand.
+BITS, EXACT_BITS, ROWS, WIDTH = 16, 10, 5, 256
+#: Stated bound: the rank of an answer is off by at most this part of the number of values and one, but for one in a thousand.
 RANK_ERROR = 0.02
 #: Cells at the ends keep what lies outside the range; the range is widened by this part on either side.
 MARGIN = 0.05
@@ -247,7 +247,7 @@ def percentiles(readings: DataFrame, sensors: DataFrame, quantiles: list[float]
     The label is that of var_no in sensors, however a reading spells it. A reading sent twice counts once; null and NaN
     items, and readings without var_no, ts or reading_id, do not count. A sensor without a range in sensors is left out.
     Values are exact to a 65,536th of the sensor's range widened by a tenth; what lies further out is reported at the
-    end of that range. Ranks are off by RANK_ERROR of n at most, but for one answer in a thousand. Empty tables give no
+    end of that range. Ranks are off by RANK_ERROR of n and one at most, but for one answer in a thousand. Empty tables give no
     rows. All days together are merged from the sketches of the days.
     """
     by = ["var_no", "day"] if per_day else ["var_no"]
@@ -255,15 +255,18 @@ def percentiles(readings: DataFrame, sensors: DataFrame, quantiles: list[float]
 
 
 def within_bounds(readings: DataFrame, sensors: DataFrame, found: DataFrame, quantiles: list[float] = QUANTILES) -> DataFrame:
-    """(label, [day,] n, bounded): whether every percentile's rank is within RANK_ERROR of the exact one, up to its cell.
+    """(label, [day,] n, bounded): whether every percentile's rank is within RANK_ERROR of n and one of the exact one, up to its cell.
 
     A check that counts all readings once more; it is no part of the sketch.
     """
     by = [c for c in ("label", "day") if c in found.columns]
-    of = sensors.select(F.col("var_no").cast("int").alias("var_no"), "label", ((F.col("phys_hi") - F.col("phys_lo")) * (1 + 2 * MARGIN) / (1 << BITS)).alias("cell")).dropDuplicates(["var_no"])
+    wide = (F.col("phys_hi") - F.col("phys_lo")) * MARGIN
+    of = sensors.where("phys_hi > phys_lo").select(F.col("var_no").cast("int").alias("var_no"), "label", ((F.col("phys_hi") - F.col("phys_lo") + 2 * wide) / (1 << BITS)).alias("cell"), (F.col("phys_lo") - wide).alias("lo"), (F.col("phys_hi") + wide).alias("hi")).dropDuplicates(["var_no"])
     r = readings.where("item is not null and not isnan(item) and ts is not null and reading_id is not null").select("reading_id", F.col("var_no").cast("int").alias("var_no"), F.to_date("ts").alias("day"), "item").dropDuplicates(["reading_id"])
     # a hot label is summed in salts: the aggregates below are map-side combined
-    joined = lookup_join(lookup_join(r, of, ["var_no"]).drop("var_no"), found.withColumnRenamed("n", "n_found"), by)
+    # what lies beyond the range is reported at its end, and so is counted there
+    r = lookup_join(r, of, ["var_no"]).withColumn("item", F.greatest(F.least("item", "hi"), "lo")).drop("var_no", "lo", "hi")
+    joined = lookup_join(r, found.withColumnRenamed("n", "n_found"), by)
     names = [f"p{round(q * 100):02d}" for q in quantiles]
     sums = [F.sum((F.col("item") < F.col(p) - F.col("cell")).cast("long")).alias(f"lo_{p}") for p in names] + [F.sum((F.col("item") <= F.col(p) + F.col("cell")).cast("long")).alias(f"hi_{p}") for p in names]
     total = joined.groupBy(*by).agg(F.count("*").alias("n"), F.max("n_found").alias("n_found"), *sums)
