@@ -1,8 +1,9 @@
 """Percentiles of very large numeric columns from dyadic Count-sketches.
 
 Values are encoded as integers of 16 bits over the range of their sensor. A sketch holds, for each binary resolution, how
-many values fall into each cell: exactly down to 1,024 cells, and in a signed Count-sketch for the finer levels. Sketches
-are linear: they merge by addition, over partitions and over days, and a deletion is an addition of weight -1. A
+many values fall into each cell: exactly down to 1,024 cells, and in a signed Count-sketch for the finer levels. Values
+beyond the range have cells of their own, of a fixed relative width, which are counted exactly and kept only where occupied.
+Sketches are linear: they merge by addition, over partitions and over days, and a deletion is an addition of weight -1. A
 percentile is found by descending the levels, each step choosing the half that holds the wanted rank.
 """
 
@@ -22,27 +23,56 @@ from skein.session import lookup_join
 BITS, EXACT_BITS, ROWS, WIDTH = 16, 10, 5, 256
 #: Stated bound: the rank of an answer is off by at most this part of the number of values and one, but for one in a thousand.
 RANK_ERROR = 0.02
-#: Cells at the ends keep what lies outside the range; the range is widened by this part on either side.
+#: The range is widened by this part on either side; what lies further out is coded by its distance from that end.
 MARGIN = 0.05
+#: Distances beyond an end keep this many bits after the leading one: at most 2,097,152 cells a side, infinity included.
+TAIL_BITS = 10
+#: The part of its distance from the end by which an answer beyond the range may be off, unless a cell of the range is more.
+TAIL_ERROR = 2.0 ** -(TAIL_BITS + 1)
+#: Sketches are added up while they hold fewer occupied cells beyond the range than this.
+TAIL_HELD = 2_000_000
 LEVELS = BITS - EXACT_BITS
 CELLS = (1 << EXACT_BITS) + LEVELS * ROWS * WIDTH
 #: A sensor and day with more rows than this (and more than a 200th of all rows) is hot: it is spread over several tasks.
 HOT_ROWS = 2_000_000
-PARTIAL = "var_no int, day date, n long, sketch binary"
+PARTIAL = "var_no int, day date, n long, sketch binary, tails binary"
+NO_TAILS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def encode(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The 16-bit code of each value; values beyond the widened range go to the end cells."""
+def _ends(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ends of the widened range and the width of its cells."""
     wide = (hi - lo) * MARGIN
-    unit = (hi - lo + 2 * wide) / (1 << BITS)
-    with np.errstate(invalid="ignore"):
-        return np.clip(np.floor((x - lo + wide) / unit), 0, (1 << BITS) - 1).astype(np.int64)
+    return lo - wide, hi + wide, (hi - lo + 2 * wide) / (1 << BITS)
+
+
+def _far(distance: np.ndarray) -> np.ndarray:
+    """The leading bits of a positive double, which keep the order."""
+    return np.ascontiguousarray(distance, float).view(np.int64) >> (52 - TAIL_BITS)
+
+
+def encode(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The code of each value: of 16 bits within the widened range; above it 65,536 or more, below it negative."""
+    x, lo, hi = np.broadcast_arrays(np.asarray(x, float), lo, hi)
+    low, high, unit = _ends(lo, hi)
+    with np.errstate(invalid="ignore", over="ignore"):
+        cell = np.floor((x - low) / unit)
+        above, below = cell > (1 << BITS) - 1, cell < 0
+        code = np.where(above | below, 0, cell).astype(np.int64)
+        most = np.where(np.isinf(x), np.inf, np.finfo(float).max)
+        for out, distance, sign, first in ((above, x - high, 1, 1 << BITS), (below, low - x, -1, -1)):
+            code[out] = first + sign * _far(np.clip(distance[out], unit[out], most[out]))
+    return code
 
 
 def decode(code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """The middle of each code's cell."""
-    wide = (hi - lo) * MARGIN
-    return lo - wide + (code + 0.5) * (hi - lo + 2 * wide) / (1 << BITS)
+    code, lo, hi = np.broadcast_arrays(np.asarray(code, float).astype(np.int64), np.asarray(lo, float), np.asarray(hi, float))
+    low, high, unit = _ends(lo, hi)
+    far = np.where(code < 0, -1 - code, np.maximum(code - (1 << BITS), 0))
+    nearest, infinite = _far(unit), 2047 << TAIL_BITS
+    middle = ((np.minimum(far, infinite - 1) << (52 - TAIL_BITS)) + (1 << (51 - TAIL_BITS))).view(float)
+    distance = np.where(far >= infinite, np.inf, np.where(far <= nearest, unit / 2, middle))
+    return np.where(code < 0, low - distance, np.where(code >= 1 << BITS, high + distance, low + (code + 0.5) * unit))
 
 
 def _place(prefix: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,8 +82,10 @@ def _place(prefix: np.ndarray, level: int, row: int) -> tuple[np.ndarray, np.nda
 
 
 def build(code: np.ndarray, group: np.ndarray, n_groups: int, weight: np.ndarray | None = None) -> np.ndarray:
-    """The sketches (n_groups x CELLS) of encoded values; weight -1 deletes."""
+    """The sketches (n_groups x CELLS) of encoded values within the range; weight -1 deletes. Others: see tails_of()."""
     w = np.ones(len(code)) if weight is None else weight.astype(float)
+    inside = (code >= 0) & (code < 1 << BITS)
+    code, group, w = code[inside], group[inside], w[inside]
     flat = np.bincount(group * CELLS + (code >> LEVELS), w, minlength=n_groups * CELLS)
     for level in range(LEVELS):
         prefix = code >> (LEVELS - 1 - level)
@@ -63,18 +95,40 @@ def build(code: np.ndarray, group: np.ndarray, n_groups: int, weight: np.ndarray
     return np.rint(flat).astype(np.int64).reshape(n_groups, CELLS)
 
 
+def add_tails(*tails: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of (codes, counts): distinct codes in order, none with a count of 0."""
+    code, at = np.unique(np.concatenate([t[0] for t in tails]), return_inverse=True)
+    count = np.zeros(len(code), np.int64)
+    np.add.at(count, at, np.concatenate([t[1] for t in tails]))
+    return code[count != 0], count[count != 0]
+
+
+def tails_of(code: np.ndarray, group: np.ndarray, n_groups: int, weight: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each group the exact counts of its codes beyond the range; weight -1 deletes."""
+    out = np.flatnonzero((code < 0) | (code >= 1 << BITS))
+    w = np.ones(len(code), np.int64) if weight is None else weight.astype(np.int64)
+    tails = [NO_TAILS] * n_groups
+    out = out[np.argsort(group[out], kind="stable")]
+    for part in np.split(out, np.flatnonzero(np.diff(group[out])) + 1) if len(out) else []:
+        tails[group[part[0]]] = add_tails((code[part], w[part]))
+    return tails
+
+
 def counts_of(sketches: np.ndarray, row: np.ndarray, level: int, prefix: np.ndarray) -> np.ndarray:
     """How many values of sketch `row` have each prefix at a fine level: the median over the rows of the sketch."""
     est = [sketches[row, at] * sign for at, sign in (_place(prefix, level, r) for r in range(ROWS))]
     return np.median(np.stack(est), axis=0)
 
 
-def quantile_codes(sketches: np.ndarray, n: np.ndarray, quantiles: list[float]) -> np.ndarray:
-    """For each sketch and quantile q the code whose rank is nearest q (n - 1), counted from 0."""
+def quantile_codes(sketches: np.ndarray, n: np.ndarray, quantiles: list[float], tails: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """For each sketch and quantile q the code whose rank is nearest q (n - 1), counted from 0; tails: of each sketch."""
+    tails = [NO_TAILS] * len(n) if tails is None else tails
+    below = np.array([t[1][t[0] < 0].sum() for t in tails], np.int64)
     top = np.cumsum(sketches[:, : 1 << EXACT_BITS], axis=1)
     k = len(quantiles)
     row = np.repeat(np.arange(len(n)), k)
-    rank = (n[:, None] - 1) * np.array(quantiles)[None]
+    whole = (n[:, None] - 1) * np.array(quantiles)[None]
+    rank = whole - below[:, None]
     cell = np.stack([(top <= rank[:, j : j + 1]).sum(1) for j in range(k)], 1).ravel()
     cell = np.minimum(cell, (1 << EXACT_BITS) - 1)
     inside = sketches[row, cell].astype(float)
@@ -86,7 +140,13 @@ def quantile_codes(sketches: np.ndarray, n: np.ndarray, quantiles: list[float])
         low = left < a
         cell = 2 * cell + ~low
         inside, left = np.where(low, a, inside - a), np.where(low, left, left - a)
-    return cell.reshape(len(n), k)
+    cell = cell.reshape(len(n), k)
+    for i, (code, count) in enumerate(tails):
+        if len(code):
+            cum = np.cumsum(count)
+            for side, at in ((whole[i] < below[i], whole[i]), (rank[i] >= top[i, -1], whole[i] - top[i, -1])):
+                cell[i, side] = code[np.minimum(np.searchsorted(cum, at[side], "right"), len(code) - 1)]
+    return cell
 
 
 _pack = zstandard.ZstdCompressor(level=1)
@@ -104,13 +164,24 @@ def from_bytes(b: bytes) -> np.ndarray:
     return np.frombuffer(_unpack.decompress(b[1:]), f"<i{b[0]}").astype(np.int64)
 
 
+def tails_to_bytes(tails: tuple[np.ndarray, np.ndarray]) -> bytes:
+    return _pack.compress(np.concatenate(tails).astype("<i8").tobytes()) if len(tails[0]) else b""
+
+
+def tails_from_bytes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not b:
+        return NO_TAILS
+    both = np.frombuffer(_unpack.decompress(b), "<i8")
+    return both[: len(both) // 2], both[len(both) // 2 :]
+
+
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sketches of sorted (var_no, day, reading_id, item, lo, hi) rows; a reading_id counts once."""
-    open_key, open_sketch, open_n, last_id = None, None, 0, None
+    open_key, open_sketch, open_tails, open_n, last_id = None, None, NO_TAILS, 0, None
 
-    def out(keys: list, ns: list, sketches: list) -> pa.RecordBatch:
+    def out(keys: list, ns: list, sketches: list, tails: list) -> pa.RecordBatch:
         v, d = zip(*keys)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(np.array(d, "datetime64[D]")), pa.array(ns, pa.int64()), pa.array([to_bytes(s) for s in sketches], pa.binary())], ["var_no", "day", "n", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(np.array(d, "datetime64[D]")), pa.array(ns, pa.int64()), pa.array([to_bytes(s) for s in sketches], pa.binary()), pa.array([tails_to_bytes(t) for t in tails], pa.binary())], ["var_no", "day", "n", "sketch", "tails"])
 
     for whole in batches:
         for at in range(0, whole.num_rows, 20_000):
@@ -125,42 +196,48 @@ def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fresh[0] = False
             group = np.cumsum(new) - 1
             first = np.flatnonzero(new)
-            sk = build(encode(x[fresh], lo[fresh], hi[fresh]), group[fresh], len(first))
+            code = encode(x[fresh], lo[fresh], hi[fresh])
+            sk, tails = build(code, group[fresh], len(first)), tails_of(code, group[fresh], len(first))
             ns = np.bincount(group[fresh], minlength=len(first))
             keys = [(int(v[i]), int(day[i])) for i in first]
             if open_key is not None:
                 if keys[0] == open_key:
                     sk[0] += open_sketch
+                    tails[0] = add_tails(tails[0], open_tails)
                     ns[0] += open_n
                 else:
-                    yield out([open_key], [open_n], [open_sketch])
+                    yield out([open_key], [open_n], [open_sketch], [open_tails])
             if len(keys) > 1:
-                yield out(keys[:-1], ns[:-1].tolist(), list(sk[:-1]))
-            open_key, open_sketch, open_n, last_id = keys[-1], sk[-1].copy(), int(ns[-1]), rid[-1]
+                yield out(keys[:-1], ns[:-1].tolist(), list(sk[:-1]), tails[:-1])
+            open_key, open_sketch, open_tails, open_n, last_id = keys[-1], sk[-1].copy(), tails[-1], int(ns[-1]), rid[-1]
     if open_key is not None:
-        yield out([open_key], [open_n], [open_sketch])
+        yield out([open_key], [open_n], [open_sketch], [open_tails])
 
 
 def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """(by..., n, sketch): sums of sketches. Each task first adds what it holds, so few sketches are shuffled."""
+    """(by..., n, sketch, tails): sums of sketches. Each task first adds what it holds, so few sketches are shuffled."""
     fields = [f for f in sketches.schema.fields if f.name in by]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n long, sketch binary"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", n long, sketch binary, tails binary"
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+        far = 0
         for b in batches:
             cols = b.to_pydict()
             for i in range(b.num_rows):
                 key = tuple(cols[c][i] for c in by)
-                s = from_bytes(cols["sketch"][i])
+                s, t = from_bytes(cols["sketch"][i]), tails_from_bytes(cols["tails"][i])
                 if key in held:
+                    far -= len(held[key][2][0])
                     held[key][0] += cols["n"][i]
                     held[key][1] += s
+                    held[key][2] = add_tails(held[key][2], t)
                 else:
-                    held[key] = [cols["n"][i], s]
-                if len(held) > 2000:
+                    held[key] = [cols["n"][i], s, t]
+                far += len(held[key][2][0])
+                if len(held) > 2000 or far > TAIL_HELD:
                     yield pack(held)
-                    held = {}
+                    held, far = {}, 0
         if held:
             yield pack(held)
 
@@ -168,11 +245,11 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
 
     def pack(held: dict) -> pa.RecordBatch:
         keys = list(zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array(k, arrow[f.dataType.simpleString()]) for k, f in zip(keys, fields)] + [pa.array([x[0] for x in held.values()], pa.int64()), pa.array([to_bytes(x[1]) for x in held.values()], pa.binary())], [*(f.name for f in fields), "n", "sketch"])
+        return pa.RecordBatch.from_arrays([pa.array(k, arrow[f.dataType.simpleString()]) for k, f in zip(keys, fields)] + [pa.array([x[0] for x in held.values()], pa.int64()), pa.array([to_bytes(x[1]) for x in held.values()], pa.binary()), pa.array([tails_to_bytes(x[2]) for x in held.values()], pa.binary())], [*(f.name for f in fields), "n", "sketch", "tails"])
 
     names = [f.name for f in fields]
     by = names
-    part = sketches.select(*names, "n", "sketch").mapInArrow(add, schema)
+    part = sketches.select(*names, "n", "sketch", "tails").mapInArrow(add, schema)
     return part.repartition(*names).mapInArrow(add_sorted(by, pack), schema)
 
 
@@ -187,17 +264,19 @@ def add_sorted(by: list[str], pack):
                 key = tuple(cols[c][i] for c in by)
                 if key in held:
                     s = held[key]
-                    held[key] = (s[0] + cols["n"][i], to_bytes(from_bytes(s[1]) + from_bytes(cols["sketch"][i])))
+                    t = cols["tails"][i]
+                    both = tails_to_bytes(add_tails(tails_from_bytes(s[2]), tails_from_bytes(t))) if s[2] and t else s[2] or t
+                    held[key] = (s[0] + cols["n"][i], to_bytes(from_bytes(s[1]) + from_bytes(cols["sketch"][i])), both)
                 else:
-                    held[key] = (cols["n"][i], cols["sketch"][i])
+                    held[key] = (cols["n"][i], cols["sketch"][i], cols["tails"][i])
         if held:
-            yield pack({k: (n, from_bytes(s)) for k, (n, s) in held.items()})
+            yield pack({k: (n, from_bytes(s), tails_from_bytes(t)) for k, (n, s, t) in held.items()})
 
     return run
 
 
 def daily_sketches(readings: DataFrame, sensors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(var_no, day, n, sketch): partial sketches per sensor and day, to be merged; see percentiles() for what counts."""
+    """(var_no, day, n, sketch, tails): partial sketches per sensor and day, to be merged; see percentiles() for what counts."""
     limits = sensors.where("phys_hi > phys_lo").select(F.col("var_no").cast("int").alias("var_no"), "phys_lo", "phys_hi").dropDuplicates(["var_no"])
     r = readings.select(F.col("var_no").cast("int").alias("var_no"), F.to_date("ts").alias("day"), F.col("reading_id").cast("long").alias("reading_id"), F.col("item").cast("double").alias("item"))
     r = r.where("var_no is not null and day is not null and reading_id is not null and item is not null and not isnan(item)")
@@ -228,14 +307,14 @@ def answers(sketches: DataFrame, sensors: DataFrame, quantiles: list[float], by:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 cols = b.to_pydict()
-                vals = quantile_codes(np.stack([from_bytes(x) for x in cols["sketch"]]), np.array(cols["n"]), quantiles).astype(float)
+                vals = quantile_codes(np.stack([from_bytes(x) for x in cols["sketch"]]), np.array(cols["n"]), quantiles, [tails_from_bytes(x) for x in cols["tails"]])
                 lo, hi = (np.array(cols[c], float) for c in ("phys_lo", "phys_hi"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols["label"], pa.string()), *(pa.array(cols[c], pa.date32()) for c in keep), pa.array(cols["n"], pa.int64()), *(pa.array(decode(vals[:, k], lo, hi)) for k in range(len(names)))],
                     ["label", *keep, "n", *names],
                 )
 
-    return of.select("label", *keep, "n", "sketch", "phys_lo", "phys_hi").where("n > 0").mapInArrow(run, schema)
+    return of.select("label", *keep, "n", "sketch", "tails", "phys_lo", "phys_hi").where("n > 0").mapInArrow(run, schema)
 
 
 QUANTILES = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -246,8 +325,8 @@ def percentiles(readings: DataFrame, sensors: DataFrame, quantiles: list[float]
 
     The label is that of var_no in sensors, however a reading spells it. A reading sent twice counts once; null and NaN
     items, and readings without var_no, ts or reading_id, do not count. A sensor without a range in sensors is left out.
-    Values are exact to a 65,536th of the sensor's range widened by a tenth; what lies further out is reported at the
-    end of that range. Ranks are off by RANK_ERROR of n and one at most, but for one answer in a thousand. Empty tables give no
+    Values are exact to a 65,536th of the sensor's range widened by a tenth, or, further out, to TAIL_ERROR of their
+    distance from the end of that range if that is more; an infinite answer is infinite. Ranks are off by RANK_ERROR of n and one at most, but for one answer in a thousand. Empty tables give no
     rows. All days together are merged from the sketches of the days.
     """
     by = ["var_no", "day"] if per_day else ["var_no"]
@@ -264,11 +343,12 @@ def within_bounds(readings: DataFrame, sensors: DataFrame, found: DataFrame, qua
     of = sensors.where("phys_hi > phys_lo").select(F.col("var_no").cast("int").alias("var_no"), "label", ((F.col("phys_hi") - F.col("phys_lo") + 2 * wide) / (1 << BITS)).alias("cell"), (F.col("phys_lo") - wide).alias("lo"), (F.col("phys_hi") + wide).alias("hi")).dropDuplicates(["var_no"])
     r = readings.where("item is not null and not isnan(item) and ts is not null and reading_id is not null").select("reading_id", F.col("var_no").cast("int").alias("var_no"), F.to_date("ts").alias("day"), "item").dropDuplicates(["reading_id"])
     # a hot label is summed in salts: the aggregates below are map-side combined
-    # what lies beyond the range is reported at its end, and so is counted there
-    r = lookup_join(r, of, ["var_no"]).withColumn("item", F.greatest(F.least("item", "hi"), "lo")).drop("var_no", "lo", "hi")
+    r = lookup_join(r, of, ["var_no"]).drop("var_no")
     joined = lookup_join(r, found.withColumnRenamed("n", "n_found"), by)
     names = [f"p{round(q * 100):02d}" for q in quantiles]
-    sums = [F.sum((F.col("item") < F.col(p) - F.col("cell")).cast("long")).alias(f"lo_{p}") for p in names] + [F.sum((F.col("item") <= F.col(p) + F.col("cell")).cast("long")).alias(f"hi_{p}") for p in names]
+    # an answer's tolerance: a cell of the range, or what the stated error is at its distance beyond the range
+    off = {p: F.when(F.abs(p) == float("inf"), 0.0).otherwise(F.greatest("cell", (F.col(p) - F.col("hi")) * 2 * TAIL_ERROR, (F.col("lo") - F.col(p)) * 2 * TAIL_ERROR)) for p in names}
+    sums = [F.sum((F.col("item") < F.col(p) - off[p]).cast("long")).alias(f"lo_{p}") for p in names] + [F.sum((F.col("item") <= F.col(p) + off[p]).cast("long")).alias(f"hi_{p}") for p in names]
     total = joined.groupBy(*by).agg(F.count("*").alias("n"), F.max("n_found").alias("n_found"), *sums)
     ok = F.col("n") == F.col("n_found")
     for p, q in zip(names, quantiles):

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.llm import clusters, graph_index, neardup, neighbours, quantiles
 
@@ -64,6 +65,46 @@ def test_days_add_up(spark):
     assert one.n == 3000 and abs(one.p25 - 2.5) < 0.5 and abs(one.p75 - 7.5) < 0.5
 
 
+def test_codes_beyond_the_range():
+    """Every double has a cell, in order, and its middle is as near as stated."""
+    r = np.random.default_rng(4)
+    x = np.sort(np.concatenate([s * 10.0 ** r.uniform(-4, 308, 4000) for s in (1, -1)] + [r.uniform(-400, 1400, 4000), [np.inf, -np.inf, np.finfo(float).max, 997.5, -47.5, np.nextafter(997.5, 2e3)]]))
+    lo, hi = np.zeros(len(x)), np.full(len(x), 950.0)
+    code = quantiles.encode(x, lo, hi)
+    back = quantiles.decode(code, lo, hi)
+    ok = np.isfinite(x)
+    assert (np.diff(code) >= 0).all() and (back[~ok] == x[~ok]).all()
+    off = np.maximum(950 * 1.1 / 65536, np.maximum(x - 997.5, -47.5 - x) * 2.0**-11 * 1.001)
+    assert (np.abs(back[ok] - x[ok]) <= off[ok]).all()
+    w = np.ones(len(x), int)
+    full, gone = (quantiles.tails_of(c, np.zeros(len(c), int), 1, v)[0] for c, v in ((code, w), (code[::2], -w[::2])))
+    left = quantiles.tails_of(code[1::2], np.zeros(len(code[1::2]), int), 1)[0]
+    assert all((a == b).all() for a, b in zip(quantiles.add_tails(full, gone), left))
+    assert all((a == b).all() for a, b in zip(quantiles.tails_from_bytes(quantiles.tails_to_bytes(full)), full))
+
+
+def test_percentiles_beyond_the_range(spark):
+    """Days with a tenth of the readings far out on either side, and wholly out; the check counts readings as they are."""
+    sensors = spark.createDataFrame(SENSORS, "var_no int, label string, phys_lo double, phys_hi double")
+    r = np.random.default_rng(3)
+    x = [r.uniform(0, 10, 400), r.uniform(500, 900, 300), -(10.0 ** r.uniform(2, 9, 300))]
+    x[0][:40], x[0][40:80] = r.uniform(-1700, -1600, 40), r.uniform(4200, 4300, 40)
+    rows = [(1000 * k + i, 1, T0 + dt.timedelta(days=k), float(z)) for k, day in enumerate(x) for i, z in enumerate(day)]
+    df = readings(spark, rows)
+    for hot in (20, 10**6):
+        found = quantiles.answers(quantiles.merge(quantiles.daily_sketches(df, sensors, hot_rows=hot), ["var_no", "day"]), sensors, quantiles.QUANTILES, ["var_no", "day"])
+        got = {row.day: row for row in found.collect()}
+        for k, day in enumerate(x):
+            one, v = got[(T0 + dt.timedelta(days=k)).date()], np.sort(day)
+            for q in quantiles.QUANTILES:
+                near = v[max(0, int(q * len(v) - 0.02 * len(v)) - 2) : int(q * len(v) + 0.02 * len(v)) + 3]
+                p = one[f"p{round(q * 100):02d}"]
+                assert near[0] - abs(near[0]) * 0.001 <= p + 0.01 and p - 0.01 <= near[-1] + abs(near[-1]) * 0.001
+    assert all(row.bounded for row in quantiles.within_bounds(df, sensors, quantiles.percentiles(df, sensors)).collect())
+    ends = quantiles.percentiles(df, sensors).withColumn("p05", F.greatest("p05", F.lit(-0.5)))
+    assert not any(row.bounded for row in quantiles.within_bounds(df, sensors, ends).where("label = 'A' and day in ('2012-01-01', '2012-01-03')").collect())
+
+
 # near-duplicates
 def text_records(seed=1, n=60):
     r = random.Random(seed)
