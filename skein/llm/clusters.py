@@ -1,8 +1,8 @@
 """Grouping records into similarity clusters by hierarchical density clustering.
 
-1. Neighbour graph: sign projections of the centred unit vectors bring similar records into common buckets; each bucket
-   gives the minimum spanning tree of its own members. A minimum spanning tree of the whole lies within the union of
-   the buckets' trees, so no bucket has to emit its pairs.
+1. Neighbour graph: the records are parted into blocks of even size, and every block meets itself and every other, so
+   that every pair is compared once. Each meeting gives its minimum spanning tree, and the nearest of each record. A
+   minimum spanning tree of the whole lies within the union of these trees, so no meeting has to emit its pairs.
 2. A distributed Boruvka minimum spanning forest of that graph under mutual reachability.
 3. Per tree: the condensed hierarchy, stability-based selection and each record's persistence in its cluster.
 4. Exact clusters at a fixed similarity are cut from the forest and then checked against the vectors themselves.
@@ -22,16 +22,13 @@ from pyspark.sql import functions as F
 from skein.llm.components import star_labels
 from skein.session import materialize, release, row_count
 
-#: Tables of sign projections and bits of each; a pair at cosine 0.9 misses all tables with a probability below 0.01,
-#: and a record whose cluster has several members is missed only if all of them miss.
-TABLES, SIGN_BITS = 24, 10
-#: A bucket above this size is parted by further bits; each part sends one member to a bucket of representatives.
-BUCKET = 1_000
+#: Records of a block. A vector goes to as many meetings as there are blocks; a meeting holds two matrices of this size.
+BLOCK = 4_000
 #: Edges below this cosine are left out: trees at that level are the roots of the hierarchy.
 FLOOR = 0.6
 #: Records, itself included, within a record's core distance; records that make up a density cluster.
 MIN_POINTS, MIN_CLUSTER = 3, 3
-#: Bucket comparisons are in single precision: distances are off by less than this.
+#: Comparisons of blocks are in single precision: distances are off by less than this.
 SLACK = 2e-6
 
 
@@ -51,23 +48,6 @@ def usable(table: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
     return one.mapInArrow(unit, "id long, v array<double>")
 
 
-def _mean(vecs: DataFrame, dim: int) -> np.ndarray:
-    """The mean vector: each task sends one sum."""
-
-    def add(batches):
-        total, n = np.zeros(dim), 0
-        for b in batches:
-            total += b.column(1).flatten().to_numpy().reshape(-1, dim).sum(0)
-            n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([n])], ["s", "n"])
-
-    part = vecs.mapInArrow(add, "s array<double>, n long").select("n", F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.try_divide(F.sum("x"), F.sum("n")).alias("x"))
-    out = np.zeros(dim)
-    for r in part.collect():  # dim rows
-        out[r["i"]] = r["x"] or 0.0
-    return out
-
-
 def _tree(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prim's minimum spanning tree of a dense distance matrix: (from, to) in order of joining."""
     n = len(w)
@@ -86,62 +66,61 @@ def _tree(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def neighbour_edges(vecs: DataFrame, dim: int, tables: int = TABLES, bits: int = SIGN_BITS, bucket: int = BUCKET, floor: float = FLOOR, nearest: int = 1, seed: int = 3) -> DataFrame:
-    """(u, v, w): distinct edges u > v of cosine distance w at most 1 - floor: the buckets' trees, and each record's nearest there."""
-    mean = _mean(vecs, dim)
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * (bits + 16)))
+def _cross_tree(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same between two sets: rows are points 0 to len(w) - 1, columns the points after them."""
+    p, n = len(w), sum(w.shape)
+    turned = np.ascontiguousarray(w.T)
+    near, src = np.full(n, np.inf, w.dtype), np.zeros(n, np.int64)
+    near[p:] = w[0]
+    out = np.zeros(n, bool)
+    out[0] = True
+    a, b = np.zeros(n - 1, np.int64), np.zeros(n - 1, np.int64)
+    for i in range(n - 1):
+        j = int(near.argmin())
+        a[i], b[i] = src[j], j
+        out[j] = True
+        near[j] = np.inf
+        row, side = (w[j], slice(p, n)) if j < p else (turned[j - p], slice(0, p))
+        closer = (row < near[side]) & ~out[side]
+        near[side][closer] = row[closer]
+        src[side][closer] = j
+    return a, b
 
-    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
-                v = b.column(1).flatten().to_numpy().reshape(b.num_rows, dim)
-                sign = ((v - mean) @ planes > 0).reshape(len(v), tables, bits + 16)
-                code = sign[:, :, :bits] @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-                more = sign[:, :, bits:] @ (1 << np.arange(16))
-                row = np.repeat(np.arange(len(v)), tables)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(code.ravel()), pa.array(more.ravel())], ["id", "code", "more"])
-
-    coded = materialize(vecs.mapInArrow(codes, "id long, code long, more long"))
-    sizes = coded.groupBy("code").agg(F.count("*").alias("c")).where("c > 1")
-    hot = sizes.where(F.col("c") > bucket).select("code", F.ceil(F.col("c") / (bucket / 2)).alias("parts"))
-    kept = coded.join(sizes.select("code"), "code", "left_semi")
-    parted = kept.join(hot, "code", "left").withColumn("sub", F.when(F.col("parts").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("more"), F.col("parts"))))
-    # parts that are still too large hold records too alike for further bits: those are parted by id
-    again = parted.where("sub > 0").groupBy("code", "sub").agg(F.count("*").alias("c")).where(F.col("c") > bucket).select("code", "sub", F.ceil(F.col("c") / (bucket / 2)).alias("more_parts"))
-    spread = parted.join(again, ["code", "sub"], "left").select("id", "code", "sub", F.when(F.col("more_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("more_parts"))).alias("leaf"))
-    # one member of each part stands for it in the parted bucket's bucket of representatives
-    heads = spread.where("sub > 0").groupBy("code", "sub", "leaf").agg(F.min("id").alias("id")).select("id", "code", F.lit(0).cast("long").alias("sub"), F.lit(-1).cast("long").alias("leaf"))
-    members = spread.union(heads)
-    work = members.join(vecs.select("id", F.col("v").cast("array<float>").alias("v")), "id")
+
+def neighbour_edges(vecs: DataFrame, dim: int, bucket: int = BLOCK, floor: float = FLOOR, nearest: int = 1) -> DataFrame:
+    """(u, v, w): distinct edges u > v of cosine distance w at most 1 - floor: trees of all blocks of `bucket` records with one another, and each record's nearest."""
+    blocks = max(1, -(-row_count(vecs) // bucket))
+    k = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    met = vecs.select("id", F.col("v").cast("array<float>").alias("v"), k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"))
+    work = met.select(F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "id", "v")
 
     def compare(key, t):
-        ids = t["id"].to_numpy()
-        empty = pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        if len(ids) < 2:
-            return empty
-        v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        outs = []
-        for i in range(0, len(ids), 4 * bucket):  # only a bucket of representatives can be longer
-            x, who = v[i : i + 4 * bucket], ids[i : i + 4 * bucket]
-            if len(who) < 2:
-                continue
-            w = np.maximum(1 - x @ x.T, 0)
+        i, j = (x.as_py() for x in key)
+        ids, v = t["id"].to_numpy(), t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        own = t["k"].to_numpy() == i
+        if len(ids) < 2 or (i != j and own.all() == own.any()):  # a block without records: nothing to compare
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
+        who = np.concatenate((ids[own], ids[~own]))
+        x = v[own]
+        w = x @ (x if i == j else v[~own]).T
+        np.maximum(np.subtract(1, w, out=w), 0, out=w)
+        if i == j:
             np.fill_diagonal(w, np.inf)
-            a, b = _tree(w)
-            if nearest > 1:  # a tree holds everyone's nearest; further ones are added for the core distances
-                k = min(nearest, len(who) - 1)
-                b2 = np.argpartition(w, k - 1, axis=1)[:, :k].ravel()
-                a, b = np.concatenate((a, np.repeat(np.arange(len(who)), k))), np.concatenate((b, b2))
-            d = w[a, b].astype(np.float64)
-            ok = d <= 1 - floor
-            outs.append((np.maximum(who[a], who[b])[ok], np.minimum(who[a], who[b])[ok], d[ok]))
-        if not outs:
-            return empty
-        u, z, d = (np.concatenate(x) for x in zip(*outs))
-        return pa.table({"u": u, "v": z, "w": d})
-
-    return work.select("code", "sub", "leaf", "id", "v").groupBy("code", "sub", "leaf").applyInArrow(compare, "u long, v long, w double").groupBy("u", "v").agg(F.min("w").alias("w"))
+        a, b = _tree(w) if i == j else _cross_tree(w)
+        d = w[np.minimum(a, b), np.maximum(a, b) - (0 if i == j else len(w))]
+        ends = [(a, b, d)]
+        if nearest > 1:  # the trees hold everyone's nearest; further ones are added for the core distances
+            for m, first, other in [(w, 0, 0)] if i == j else [(w, 0, len(w)), (w.T, len(w), 0)]:
+                few = min(nearest, m.shape[1] - (i == j))
+                b = np.argpartition(m, few - 1, axis=1)[:, :few]
+                a = np.repeat(np.arange(len(m)), few)
+                ends.append((a + first, b.ravel() + other, m[a, b.ravel()]))
+        a, b, d = (np.concatenate(e) for e in zip(*ends))
+        ok = d <= 1 - floor
+        a, b = who[a[ok]], who[b[ok]]
+        return pa.table({"u": np.maximum(a, b), "v": np.minimum(a, b), "w": d[ok].astype(np.float64)})
+
+    return work.groupBy("i", "j").applyInArrow(compare, "u long, v long, w double").groupBy("u", "v").agg(F.min("w").alias("w"))
 
 
 def boruvka(edges: DataFrame) -> DataFrame:
@@ -327,12 +306,12 @@ def alike_sets(table: DataFrame, similarity: float = 0.85, id_col: str = "mat_id
     """(id, cluster): the sets of two or more records that are all alike and alike to no record outside; cluster is the least id.
 
     Two records are alike if the cosine of their vectors is at least `similarity`. The sets are the trees of the
-    spanning forest cut at that similarity; in each, all members are then compared: a set whose members all lie within
+    spanning forest cut at that similarity, for which every pair of records is compared, so that no link outside is missed; in each, all members are then compared: a set whose members all lie within
     half the angle of their mean is settled at once, any other is compared in blocks, in double precision. Nulls, all-zero and unusable
     vectors take no part; an id counts once. An empty table gives no rows.
     """
     # with two points mutual reachability is the distance itself, so the forest cut there has exactly the alike as trees
-    members, vecs, tree = forest_of(table, id_col, vec_col, dim, 2, **how)
+    members, vecs, tree = forest_of(table, id_col, vec_col, dim, 2, **{"floor": similarity - 2 * SLACK} | how)
     near = tree.where(F.col("w") <= 1 - similarity + SLACK).select("u", "v")
     label = star_labels(near)
     roots = label.select(F.col("v").alias("id"), F.col("v").alias("c")).distinct()

@@ -265,6 +265,29 @@ def test_sets_of_alike_matrices(spark, bucket):
     assert blocks == got
 
 
+def beside_a_cluster(seed, hot, pairs):
+    """Unit vectors: one cluster of all alike, and lone pairs at cosine 0.86 that lean towards it."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(r.normal(size=(1, 378)))
+    off = r.normal(size=(2, pairs, 378))
+    off -= (off @ base.T) * base
+    one = 0.77 * base + np.sqrt(1 - 0.77**2) * unit(off[0])
+    cross = unit(off[1] - (off[1] * one).sum(1, keepdims=True) * one)
+    two = 0.86 * one + np.sqrt(1 - 0.86**2) * cross
+    v = np.concatenate((unit(base + 0.015 * r.normal(size=(hot, 378))), one, two))
+    return [(i + 1, [float(z) for z in x]) for i, x in enumerate(v)]
+
+
+def test_no_pair_is_missed_beside_a_cluster(spark):
+    """Lone pairs near the threshold, of which tables of sign bits lose a part."""
+    rows = beside_a_cluster(11, 200, 150)
+    want = brute_sets(rows)
+    assert len(want) > 400
+    for bucket in (4000, 90):
+        assert {tuple(x) for x in clusters.alike_sets(mats(spark, rows), bucket=bucket).collect()} == want
+
+
 def test_density_clusters_find_the_groups(spark):
     rows = matrix_rows(7, 160, 12, 0.05)
     r = np.random.default_rng(7)
