@@ -288,6 +288,23 @@ def test_no_pair_is_missed_beside_a_cluster(spark):
         assert {tuple(x) for x in clusters.alike_sets(mats(spark, rows), bucket=bucket).collect()} == want
 
 
+def test_forest_of_a_large_cluster_is_exact(spark):
+    """Links and core distances of a cluster of several blocks, against all pairs."""
+    rows = beside_a_cluster(12, 300, 40)
+    v = np.array([x for _, x in rows])
+    w = 1 - (v / np.linalg.norm(v, axis=1, keepdims=True)) @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T
+    np.fill_diagonal(w, np.inf)
+    core = np.sort(w, axis=1)[:, 1]
+    core = np.where(core <= 0.4, core, 0.4)
+    reach = np.where(w <= 0.4, np.maximum(w, np.maximum(core[:, None], core[None])), np.inf)
+    a, b = clusters._tree(reach)
+    want = np.sort(reach[a, b][np.isfinite(reach[a, b])])
+    for bucket in (4000, 60):
+        _, _, tree = clusters.forest_of(mats(spark, rows), "mat_id", "mat", 378, 3, bucket=bucket)
+        got = np.sort([x.w for x in tree.collect()])
+        assert len(got) == len(want) and np.abs(got - want).max() < 1e-5
+
+
 def test_density_clusters_find_the_groups(spark):
     rows = matrix_rows(7, 160, 12, 0.05)
     r = np.random.default_rng(7)
