@@ -272,7 +272,9 @@ def density_clusters(table: DataFrame, id_col: str = "mat_id", vec_col: str = "m
     """(id, cluster_id, size, persistence, exemplar_rank): one row per record in a cluster.
 
     cluster_id is the least id of its cluster; the most persistent members (ties: smaller id) have exemplar_rank 1 to
-    `exemplars`, the others null. Records that take no part (see usable()) or are alone are not listed.
+    `exemplars`, the others null. Links below the cosine `floor` (FLOOR unless given) are dropped: the hierarchy is a forest cut
+    there, looser clusters do not come out, and a record with fewer than min_points - 1 neighbours within it has the core
+    distance 1 - floor. Records that take no part (see usable()) or are alone are not listed.
     """
     members, vecs, tree = forest_of(table, id_col, vec_col, dim, min_points, **how)
 
