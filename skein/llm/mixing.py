@@ -93,7 +93,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
     Each source's documents are packed into blocks of block_tokens (the last may be shorter). A shard has shard_blocks
     slots; each slot holds one block, made of the listed ranges. A block is used at most max_repeats times, once per
     epoch, so no token of a document is used more often. Without total_tokens the mix is as large as the caps allow at
-    the target shares. Documents with a null or untargeted source, and null or empty texts, take no part; a target
+    the target shares; every slot up to there is filled. Documents with a null or untargeted source, and null or empty texts, take no part; a target
     source without any tokens is left out and the other shares are scaled up. Repeated rows count each for themselves.
     Empty tables give no rows.
     """
@@ -104,19 +104,29 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
     plan = _plan(totals, wanted, block_tokens, total_tokens)
     spark = documents.sparkSession
     n_blocks = plan[0]["size"] if plan else 0
-    n_shards = -(-n_blocks // shard_blocks)
     names, shares = [p["source"] for p in plan], np.array([p["share"] for p in plan])
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            shard = b.column(0).to_numpy()
-            left = np.minimum(shard_blocks, n_blocks - shard * shard_blocks)
-            n = shard_counts(shard, shares, left, seed)
-            first = np.cumsum(n, axis=1) - n
-            k = len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, k)), pa.array(names * len(shard)), pa.array(n.ravel()), pa.array(first.ravel())], ["shard", "source", "n", "slot"])
-
-    counts = spark.range(0, n_shards, 1, max(1, min(1000, n_shards // 500 + 1))).mapInArrow(draw, "shard long, source string, n long, slot long").where("n > 0").withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
+    def draws(n_blocks: int) -> DataFrame:
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                shard = b.column(0).to_numpy()
+                left = np.minimum(shard_blocks, n_blocks - shard * shard_blocks)
+                n = shard_counts(shard, shares, left, seed)
+                first = np.cumsum(n, axis=1) - n
+                k = len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shard, k)), pa.array(names * len(shard)), pa.array(n.ravel()), pa.array(first.ravel())], ["shard", "source", "n", "slot"])
+
+        n_shards = -(-n_blocks // shard_blocks)
+        return spark.range(0, n_shards, 1, max(1, min(1000, n_shards // 500 + 1))).mapInArrow(draw, "shard long, source string, n long, slot long").where("n > 0")
+
+    # a draw that passes a cap is made again for a mix smaller by what was too much, so that no slot stays empty
+    while n_blocks:
+        used = {r["source"]: r["t"] for r in draws(n_blocks).groupBy("source").agg(F.sum("n").alias("t")).collect()}  # a line per source
+        over = max((used.get(p["source"], 0) - p["repeats"] * p["blocks"]) / p["share"] for p in plan)
+        if over <= 0:
+            break
+        n_blocks = max(0, n_blocks - int(np.ceil(over)))
+    counts = draws(n_blocks).withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
     runs = counts.groupBy("source", "run").agg(F.sum("n").alias("t"))
     base = runs.select("source", "run", (F.sum("t").over(W.partitionBy("source").orderBy("run")) - F.col("t")).alias("base"))
     inside = F.sum("n").over(W.partitionBy("source", "run").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")

@@ -122,6 +122,20 @@ def test_mix_meets_shares_and_caps(spark, monkeypatch):
     assert max(uses.values()) <= 3
 
 
+def test_mix_leaves_no_slot_empty(spark):
+    """A seed whose draw passes the cap of a small source."""
+    rows = [(1, "small", "x " * 320), (2, "big", "x " * 9000)]
+    size = dict(zip(["small", "big"], tokens.count_tokens([t for _, _, t in rows], VOCAB).tolist()))
+    targets = [{"source": "small", "target_share": 0.04, "max_repeats": 1}, {"source": "big", "target_share": 0.96, "max_repeats": 1}]
+    plan = mixing._plan(size, targets, 8, None)
+    n, shares = plan[0]["size"], np.array([p["share"] for p in plan])
+    shards = np.arange(-(-n // 16))
+    seed = next(k for k in range(300) if mixing.shard_counts(shards, shares, np.minimum(16, n - shards * 16), k)[:, 0].sum() > plan[0]["blocks"])
+    mixed = mixing.mix_sources(docs_of(spark, rows), spark.createDataFrame([tuple(t.values()) for t in targets], "source string, target_share double, max_repeats int"), block_tokens=8, shard_blocks=16, seed=seed)
+    slots = sorted({(x.shard, x.slot) for x in mixed.collect()})
+    assert len(slots) > 0.9 * n and slots == [(k // 16, k % 16) for k in range(len(slots))]
+
+
 def test_mix_edges(spark):
     targets = spark.createDataFrame([("a", 0.5, 1), (None, 0.2, 2), ("b", 0.5, None)], "source string, target_share double, max_repeats int")
     empty = docs_of(spark, [])
