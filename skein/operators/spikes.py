@@ -3,9 +3,9 @@
 One shuffle brings each series (flight and sensor) together in time order and packs it into a compact row; every
 later pass is a scan of those packed rows, without a shuffle of readings:
 
-1. robust autoregression of order one per source (tail and sensor), from medians, and a histogram of step sizes;
-2. the exact median step, from the one or two histogram cells that hold it;
-3. the tests: physical limits, stuck runs, additive outliers and level shifts of the autoregression's residuals.
+1. histograms of items and steps per source (tail and sensor), and the exact median step from the cells that hold it;
+2. rounds of a robust autoregression of order one per source: fit, test for additive outliers, clean, fit again;
+3. the tests: physical limits, stuck runs, and the autoregression's additive outliers and level shifts, verified.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.session import lookup_join, materialize
+from skein.session import lookup_join, materialize, release
 
 #: Sensors that rest by nature: their equal readings are no fault (for the last four only zeros).
 RESTING, RESTING_AT_ZERO = ("PH", "WOW"), ("VIB_1", "VIB_2", "VIB_3", "VIB_4")
-STUCK_RUN, SPIKE_RUN, STEPS, ROUNDS = 6, 3, 15.0, 3
+STUCK_RUN, SPIKE_RUN, SHIFT_RUN, STEPS = 6, 3, 3, 15.0
+#: A residual beyond this many robust deviations is implausible; rounds of fitting at most (a round without news ends them).
+NOMINATE, ROUNDS = 3.0, 3
 #: A series longer than this is worked on in overlapping segments, so no task holds an unbounded series.
 SEGMENT, HALO = 200_000, 16
 NONE, LIMIT, STUCK, SPIKE, SHIFT = range(5)
@@ -123,54 +125,101 @@ class Flat:
         return d
 
 
-def _median_by(values: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """Median of values per row number (nan where a row has none); row must be ascending."""
-    order = np.lexsort((values, row))
-    count = np.bincount(row, minlength=n_rows)
-    first = np.concatenate(([0], np.cumsum(count)[:-1]))
-    out = np.full(n_rows, np.nan)
-    has = count > 0
-    s = values[order]
-    out[has] = (s[first[has] + (count[has] - 1) // 2] + s[first[has] + count[has] // 2]) / 2
-    return out
+def _cell(d: np.ndarray) -> np.ndarray:
+    """The histogram cell of a number: its sign, exponent and first seven bits, monotone in the number."""
+    c = np.abs(d).view(np.int64) >> 45
+    return np.where(d < 0, -1 - c, c)
 
 
-def _cell(d: np.ndarray) -> np.ndarray:
-    """The histogram cell of a positive step: its exponent and first seven bits, monotone in the step."""
-    return d.view(np.int64) >> 45
+def _middle(cell: np.ndarray) -> np.ndarray:
+    """The middle of each cell (nan for one below the lowest)."""
+    c = np.where(cell < 0, -1 - cell, cell)
+    return np.where(cell < 0, -1.0, 1.0) * np.where(c > 0, ((c << 45) + (1 << 44)).view(float), 0.0)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per source: step counts by cell, and (cell -1) weight, weighted location and weighted AR coefficient."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        s = Flat(b)
-        tails = s.col["tail"].dictionary_encode()
-        var, code = np.unique(s.var, return_inverse=True)
-        key = tails.indices.to_numpy().astype(np.int64) * len(var) + code
-        d = s.steps()
-        use = s.owned & (d > 0) & np.isfinite(d)
-        pair, n = np.unique(np.stack((key[s.row[use]], _cell(d[use]))), axis=1, return_counts=True) if use.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-        fin = np.isfinite(s.x)
-        med = _median_by(s.x[fin], s.row[fin], b.num_rows)
-        both = s.inner.copy()
-        both[1:] &= fin[1:] & fin[:-1]
-        at = np.flatnonzero(both)
-        mu = med[s.row[at]]
-        plus = _median_by(np.abs(s.x[at] + s.x[at - 1] - 2 * mu), s.row[at], b.num_rows) ** 2
-        minus = _median_by(np.abs(s.x[at] - s.x[at - 1]), s.row[at], b.num_rows) ** 2
+class Model:
+    """The autoregression of each packed row in one round: its own location, and the coefficient and scale of its source."""
+
+    def __init__(self, mu: np.ndarray, plus: np.ndarray, minus: np.ndarray, scale: np.ndarray):
+        self.mu = mu
         with np.errstate(invalid="ignore", divide="ignore"):
-            phi = np.clip(np.nan_to_num((plus - minus) / (plus + minus)), -0.999, 0.999)
-        w = np.bincount(s.row[s.owned], minlength=b.num_rows).astype(float)
-        med = np.nan_to_num(med)
-        vals = tails.dictionary
-        all_key = np.concatenate((pair[0], key))
-        yield pa.RecordBatch.from_arrays(
-            [vals.take(pa.array(all_key // len(var))), pa.array(var[all_key % len(var)], pa.int32()), pa.array(np.concatenate((pair[1], np.full(len(key), -1)))),
-             pa.array(np.concatenate((n.astype(float), w))), pa.array(np.concatenate((np.zeros(len(n)), w * med))), pa.array(np.concatenate((np.zeros(len(n)), w * phi)))],
-            ["tail", "var_no", "cell", "n", "mu", "phi"],
-        )
+            self.phi = np.clip(np.nan_to_num((plus**2 - minus**2) / (plus**2 + minus**2)), -0.9999, 0.9999)
+        self.scale = 1.4826 * scale
+
+    def residuals(self, x: np.ndarray, s: Flat) -> np.ndarray:
+        m, p = self.mu[s.row], self.phi[s.row]
+        e = np.zeros(len(x))
+        with np.errstate(invalid="ignore"):
+            e[1:] = (x[1:] - m[1:]) - p[1:] * (x[:-1] - m[1:])
+        return np.where(s.inner, e, 0.0)
+
+
+def _locations(s: Flat) -> np.ndarray:
+    """The median of each packed row (nan where it has no finite reading)."""
+    ok = np.isfinite(s.x)
+    v, row, n = s.x[ok], s.row[ok], len(s.var)
+    v = v[np.lexsort((v, row))]
+    count = np.bincount(row, minlength=n)
+    first = np.cumsum(count) - count
+    out, has = np.full(n, np.nan), count > 0
+    out[has] = (v[first[has] + (count[has] - 1) // 2] + v[first[has] + count[has] // 2]) / 2
+    return out
+
+
+def _models(s: Flat) -> list[Model]:
+    """The rounds fitted so far, from the column of their cells: three a round, of which the last may still lack some."""
+    rounds = s.col["fits"]
+    width = int(np.diff(rounds.offsets.to_numpy()).max(initial=0))
+    flat = np.full((len(s.var), width + -width % 3), _NO_KEY)  # a source without any step has no fit
+    flat[np.diff(rounds.offsets.to_numpy()) == width, :width] = rounds.flatten().to_numpy().reshape(-1, width) if width else 0
+    mids, mu = np.where(flat == _NO_KEY, np.nan, _middle(flat)), _locations(s)
+    return [Model(mu, *mids[:, k : k + 3].T) for k in range(0, mids.shape[1], 3)]
+
+
+def _counter(kind: str):
+    """A pass that counts, per source, readings by the cell of what is to get its median, and (what -1) how many are new.
+
+    first: steps (1), sums (2) and differences (3) of neighbours about the location; scale: residuals (4); again: 2 to 4
+    on the series as cleaned by all rounds so far, residuals with the last round's coefficient.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = Flat(b)
+            tails = s.col["tail"].dictionary_encode()
+            var, code = np.unique(s.var, return_inverse=True)
+            key = (tails.indices.to_numpy().astype(np.int64) * len(var) + code)[s.row]
+            x, found = s.x, 0
+            models = _models(s) if kind != "first" else []
+            if kind == "again":
+                x, _, found = clean(s, models)
+            d = np.zeros(len(x))
+            with np.errstate(invalid="ignore"):
+                d[1:] = np.diff(x)
+            d[~s.inner] = 0
+            moved = s.owned & (d != 0) & np.isfinite(d)  # readings that repeat the one before say nothing of the scatter
+            parts = [(1, moved, np.abs(d))] if kind == "first" else []
+            if kind != "scale":
+                mu, around = _locations(s), np.zeros(len(x))
+                with np.errstate(invalid="ignore"):
+                    around[1:] = x[1:] + x[:-1] - 2 * mu[s.row[1:]]
+                parts += [(2, moved & np.isfinite(around), np.abs(around)), (3, moved, np.abs(d))]
+            if kind != "first":
+                e = models[-1].residuals(x, s)
+                parts += [(4, moved & np.isfinite(e), np.abs(e))]
+            # kind, source and cell in one number: cells are of 20 bits
+            wide = len(tails.dictionary) * len(var)
+            packed, n = np.unique(np.concatenate([((what * wide + key[use]) << 20) + _cell(v[use]) + (1 << 19) for what, use, v in parts]), return_counts=True)
+            at, cell = np.concatenate(((packed >> 20) % wide, [0])), (packed & ((1 << 20) - 1)) - (1 << 19)
+            yield pa.RecordBatch.from_arrays(
+                [tails.dictionary.take(pa.array(at // len(var))), pa.array(var[at % len(var)], pa.int32()), pa.array(np.concatenate(((packed >> 20) // wide, [-1])), pa.int32()),
+                 pa.array(np.concatenate((cell, [0]))), pa.array(np.concatenate((n, [found])).astype(np.int64))],
+                ["tail", "var_no", "what", "cell", "n"],
+            )
+
+    return run
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,42 +236,67 @@ def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([s.col["tail"].take(pa.array(s.row[use])), s.col["var_no"].take(pa.array(s.row[use])), pa.array(cell[keep]), pa.array(d[use])], ["tail", "var_no", "cell", "d"])
 
 
-def _innovations(x, t, p, m, live) -> tuple[np.ndarray, np.ndarray]:
-    """Where a residual of the autoregression may stand for a jump of more than t up or down.
+def nominated(x: np.ndarray, s: Flat, m: Model, live: np.ndarray) -> list[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """The additive outliers that the model nominates: (first reading, length, sign, whether they are plain).
 
-    A residual is the jump itself plus the pull back to the mean, (1 - p) |x - m| at most; the test is widened by that
-    pull, so that no jump of more than t fails it.
+    An outlier of k readings leaves the pattern 1, 1 - phi, ..., -phi in the residuals from its first reading to the one
+    after it. Its size is estimated by least squares on that pattern, and implausible beyond NOMINATE robust deviations.
+    The estimate hardly feels how far the series is from its location, which adds alike to all residuals. It is plain if
+    the first and the last residual are implausible by themselves, in opposite directions.
+    """
+    e = m.residuals(x, s)
+    p, bar, end = m.phi[s.row], NOMINATE * m.scale[s.row], s.offs[s.row + 1]
+    big = np.abs(e) > bar
+    patches = []
+    with np.errstate(invalid="ignore"):
+        for k in range(1, SPIKE_RUN + 1):
+            i = np.flatnonzero(live & (np.arange(len(x)) + k < end))
+            if not len(i):
+                continue
+            size, norm = e[i] - p[i] * e[i + k], 1 + p[i] ** 2 + (k - 1) * (1 - p[i]) ** 2
+            for j in range(1, k):
+                size = size + (1 - p[i]) * e[i + j]
+            ok = np.abs(size) > bar[i] * np.sqrt(norm)
+            i, size = i[ok], size[ok]
+            patches.append((i, k, np.sign(size), big[i] & big[i + k] & (e[i] * e[i + k] < 0)))
+    return patches
+
+
+def shifted(x: np.ndarray, s: Flat, m: Model, live: np.ndarray) -> np.ndarray:
+    """Where an innovation is implausible by itself or against the one before, which holds the same pull to the location."""
+    e = m.residuals(x, s)
+    bar = NOMINATE * m.scale[s.row]
+    turn = np.zeros(len(x))
+    with np.errstate(invalid="ignore"):
+        turn[1:] = np.where(s.inner[:-1], np.abs(e[1:] - e[:-1]), 0) / 2**0.5
+        return live & ((np.abs(e) > bar) | (turn > bar))
+
+
+def clean(s: Flat, models: list[Model], live: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple], int]:
+    """The series with each round's plain outliers replaced by what stands before them, all nominations, and how many readings the last round replaced."""
+    x, outliers, found = s.x, [], 0
+    live = s.inner if live is None else live
+    gone = np.zeros(len(x), bool)
+    for m in models:
+        patches = nominated(x, s, m, live)
+        before = gone.copy()
+        for i, k, _, plain in patches:
+            gone[(i[plain][:, None] + np.arange(k)).ravel()] = True
+        outliers += patches
+        found = int((gone & ~before & s.owned).sum())
+        if (gone != before).any():
+            last = np.maximum.accumulate(np.where(gone, -1, np.arange(len(x))))
+            x = np.where(gone & (last >= s.offs[s.row]), s.x[np.maximum(last, 0)], s.x)
+    return x, outliers, found
+
+
+def judge(s: Flat, lo, hi, step, models: list[Model], rests, rests_zero) -> np.ndarray:
+    """The kind of each reading; the parameters are arrays per packed row. The last round's model tests for level shifts.
+
+    What the autoregression nominates is then verified on the readings themselves: an additive outlier must lie beyond
+    both neighbours by more than STEPS usual steps; a level shift is the first of SHIFT_RUN readings that all lie beyond
+    each of the SHIFT_RUN before it by as much, spikes left out and none of them off limits or stuck.
     """
-    res, pull = np.zeros(len(x)), np.zeros(len(x))
-    res[1:] = (x[1:] - m[1:]) - p[1:] * (x[:-1] - m[1:])
-    pull[1:] = (1 - p[1:]) * np.abs(x[:-1] - m[1:])
-    return live & (res > t - pull), live & (res < pull - t)
-
-
-def _outliers(x, up, down, t, off, offs_end) -> np.ndarray:
-    """Additive outliers: patches between opposite innovations, then tested exactly against both neighbours."""
-    spike = np.zeros(len(x), bool)
-    for k in range(1, SPIKE_RUN + 1):
-        for enter, leave, sign in ((up, down, 1.0), (down, up, -1.0)):
-            i = np.flatnonzero(enter)
-            i = i[i + k < offs_end[i]]
-            i = i[leave[i + k]]
-            inside = i[:, None] + np.arange(-1, k + 1)
-            v = sign * x[inside]
-            ok = (v[:, 1:-1].min(1) - np.maximum(v[:, 0], v[:, -1]) > t[i]) & ~off[inside].any(1)
-            spike[inside[ok][:, 1:-1].ravel()] = True
-    return spike
-
-
-def _beside(x, spike, s: Flat) -> np.ndarray:
-    """For each reading the last one before it, in its series, that is no spike."""
-    at = np.where(spike, -1, np.arange(len(x)))
-    last = np.maximum.accumulate(at)
-    return np.where(last >= s.offs[s.row], x[np.maximum(last, 0)], x)
-
-
-def judge(s: Flat, lo, hi, step, mu, phi, rests, rests_zero) -> np.ndarray:
-    """The kind of each reading; the parameters are arrays per packed row."""
     x, row, n = s.x, s.row, len(s.x)
     kind = np.zeros(n, np.int8)
     if not n:
@@ -237,29 +311,25 @@ def judge(s: Flat, lo, hi, step, mu, phi, rests, rests_zero) -> np.ndarray:
         stuck &= ~rests[row] & ~(rests_zero[row] & (x == 0))
         off = limit | stuck
         t, live = STEPS * step[row], s.inner & ~rests[row]
-        offs_end = s.offs[row + 1]
-        spike, clean = np.zeros(n, bool), x
-        for _ in range(ROUNDS):
-            up, down = _innovations(clean, t, phi[row], mu[row], live)
-            found = _outliers(x, up, down, t, off, offs_end) & ~spike
-            if not found.any():
-                break
-            # what was found is replaced by what stands beside it, and the rest is tested again
-            spike |= found
-            clean = np.where(spike, _beside(x, spike, s), x)
-        jumped = np.zeros(n)
-        jumped[1:] = np.abs(np.diff(clean))
-        # a large innovation that no later one takes back within a few readings moves the level
-        shift = (up | down) & (jumped > t) & ~spike & ~off
-        for k in range(1, SPIKE_RUN + 1):
-            for one, other in ((up, down), (down, up)):
-                i = np.flatnonzero(one & shift)
-                i = i[i + k < offs_end[i]]
-                back = i[other[i + k] & (jumped[i + k] > t[i])]
-                shift[back] = False
-                shift[back + k] = False
-        kind[shift] = SHIFT
-    kind[spike], kind[stuck], kind[limit] = SPIKE, STUCK, LIMIT
+        spike, shift = np.zeros(n, bool), np.zeros(n, bool)
+        _, outliers, _ = clean(s, models, live)
+        for i, k, sign, _ in outliers:
+            inside = i[:, None] + np.arange(-1, k + 1)
+            v = sign[:, None] * x[inside]
+            ok = (v[:, 1:-1].min(1) - np.maximum(v[:, 0], v[:, -1]) > t[i]) & ~off[inside].any(1)
+            spike[inside[ok][:, 1:-1].ravel()] = True
+        if models:
+            kept = np.flatnonzero(~spike)
+            last = np.maximum.accumulate(np.where(spike, -1, np.arange(n)))
+            i = np.flatnonzero(shifted(np.where(spike & (last >= s.offs[row]), x[np.maximum(last, 0)], x), s, models[-1], live) & ~spike)
+            i = np.searchsorted(kept, i)
+            i = i[(i >= SHIFT_RUN) & (i + SHIFT_RUN <= len(kept))]
+            inside = kept[i[:, None] + np.arange(-SHIFT_RUN, SHIFT_RUN)]
+            v = x[inside]
+            rise, fall = (g(v[:, SHIFT_RUN:]) - h(v[:, :SHIFT_RUN]) for g, h in ((lambda z: z.min(1), lambda z: z.max(1)), (lambda z: z.max(1), lambda z: z.min(1))))
+            ok = ((rise > t[kept[i]]) | (-fall > t[kept[i]])) & ~off[inside].any(1) & (row[inside[:, 0]] == row[inside[:, -1]])
+            shift[kept[i[ok]]] = True
+    kind[shift], kind[spike], kind[stuck], kind[limit] = SHIFT, SPIKE, STUCK, LIMIT
     return kind
 
 
@@ -272,18 +342,64 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = pc.fill_null(s.col["label"], "")
         rests = pc.is_in(label, pa.array(RESTING)).to_numpy(zero_copy_only=False)
         zero = pc.is_in(label, pa.array(RESTING_AT_ZERO)).to_numpy(zero_copy_only=False)
-        kind = judge(s, num("phys_lo", -np.inf), num("phys_hi", np.inf), num("step", np.inf), num("mu", 0.0), num("phi", 0.0), rests, zero)
+        kind = judge(s, num("phys_lo", -np.inf), num("phys_hi", np.inf), num("step", np.inf), _models(s), rests, zero)
         at = np.flatnonzero((kind != NONE) & s.owned)
         yield pa.RecordBatch.from_arrays([pa.array(s.ids[at]), pa.array(KINDS[kind[at]], pa.string())], ["reading_id", "kind"])
 
 
+def _median_cells(cells: DataFrame) -> DataFrame:
+    """(tail, var_no, what, cell): the cell that holds the median of each kind of number."""
+    by = W.partitionBy("tail", "var_no", "what")
+    held = cells.where("what >= 0").select("*", F.sum("n").over(by.orderBy("cell")).alias("upto"), F.sum("n").over(by).alias("total"))
+    half = F.floor((F.col("total") + 1) / 2)
+    return held.where((F.col("upto") >= half) & (F.col("upto") - F.col("n") < half)).select("tail", "var_no", "what", "cell")
+
+
+def _count(packed: DataFrame, kind: str, fits: DataFrame | None) -> DataFrame:
+    """(tail, var_no, what, cell, n) over all of packed; see _counter()."""
+    rows = packed.select("tail", "var_no", "own_lo", "own_hi", "items")
+    rows = rows if fits is None else lookup_join(rows, fits, ["tail", "var_no"])
+    got = rows.mapInArrow(_counter(kind), "tail string, var_no int, what int, cell long, n long")
+    return materialize(got.groupBy("tail", "var_no", "what", "cell").agg(F.sum("n").alias("n")))
+
+
+def fit_sources(packed: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, list[int]]:
+    """(tail, var_no, fits), the first pass's cells, and the number of readings that each round but the last found to be outliers.
+
+    Rounds of a robust autoregression of order one: each series has its own location (median); coefficient (from the
+    medians of sums and differences of neighbours) and scale (median absolute residual) are those of the source over all
+    its flights. Outliers are tested and replaced, and both are fitted again on the cleaned series, until a round finds
+    nothing new or `rounds` are done. Medians are those of histogram cells, good to 1 in 128. fits holds the cells of each
+    round.
+    """
+    first = _count(packed, "first", None)
+    cell = lambda k: F.coalesce(F.max(F.when(F.col("what") == k, F.col("cell"))), F.lit(_NO_KEY))
+
+    def extended(fits: DataFrame, counts: DataFrame, *whats: int) -> DataFrame:
+        of = _median_cells(counts).groupBy("tail", "var_no").agg(F.array(*[cell(k) for k in whats]).alias("new"))
+        none = F.array(*[F.lit(_NO_KEY)] * len(whats))
+        return materialize(fits.join(of, ["tail", "var_no"], "left").select("tail", "var_no", F.concat("fits", F.coalesce("new", none)).alias("fits")))
+
+    fits, found = materialize(_median_cells(first).groupBy("tail", "var_no").agg(F.array(cell(2), cell(3)).alias("fits"))), []
+    scale = _count(packed, "scale", fits)
+    fits = extended(fits, scale, 4)
+    release(scale)
+    while len(found) < rounds - 1:
+        counts = _count(packed, "again", fits)
+        found.append(counts.where("what = -1").agg(F.sum("n")).first()[0] or 0)
+        if not found[-1]:
+            break
+        fits = extended(fits, counts, 2, 3, 4)
+        release(counts)
+    return fits, first, found
+
+
 def source_profile(packed: DataFrame) -> DataFrame:
-    """(tail, var_no, step, mu, phi): the usual step (exact median of nonzero differences), location and AR coefficient."""
-    cells = materialize(packed.select("tail", "var_no", "own_lo", "own_hi", "items").mapInArrow(_profile, "tail string, var_no int, cell long, n double, mu double, phi double").groupBy("tail", "var_no", "cell").agg(F.sum("n").alias("n"), F.sum("mu").alias("mu"), F.sum("phi").alias("phi")))
-    ar = cells.where("cell = -1 and n > 0").select("tail", "var_no", (F.col("mu") / F.col("n")).alias("mu"), (F.col("phi") / F.col("n")).alias("phi"))
+    """(tail, var_no, step, fits): the usual step (exact median of nonzero differences) and the rounds of the autoregression."""
+    fits, cells, _ = fit_sources(packed)
     by = W.partitionBy("tail", "var_no")
     ranked = (
-        cells.where("cell >= 0")
+        cells.where("what = 1")
         .select("tail", "var_no", "cell", "n", F.sum("n").over(by.orderBy("cell")).alias("upto"), F.sum("n").over(by).alias("total"))
         .select("*", F.floor((F.col("total") + 1) / 2).alias("r1"), (F.floor(F.col("total") / 2) + 1).alias("r2"), (F.col("upto") - F.col("n")).alias("below"))
         .where("(below < r1 and r1 <= upto) or (below < r2 and r2 <= upto)")
@@ -298,7 +414,7 @@ def source_profile(packed: DataFrame) -> DataFrame:
         .select("tail", "var_no", "d", (F.col("below") + F.col("hi") - F.col("c")).alias("lo"), (F.col("below") + F.col("hi")).alias("hi"), "r1", "r2")
     )
     step = found.groupBy("tail", "var_no").agg(((F.max(F.expr("case when lo < r1 and r1 <= hi then d end")) + F.max(F.expr("case when lo < r2 and r2 <= hi then d end"))) / 2).alias("step"))
-    return ar.join(step, ["tail", "var_no"], "left")
+    return fits.join(step, ["tail", "var_no"], "left")
 
 
 def flag_readings(readings: DataFrame, sensors: DataFrame, profile: bool = False) -> DataFrame:
@@ -314,7 +430,7 @@ def flag_readings(readings: DataFrame, sensors: DataFrame, profile: bool = False
     if profile:
         return of.join(limits, "var_no", "left")
     rows = lookup_join(lookup_join(packed, limits, ["var_no"], "left"), of, ["tail", "var_no"], "left")
-    return rows.select("var_no", "own_lo", "own_hi", "ids", "items", "label", "phys_lo", "phys_hi", "step", "mu", "phi").mapInArrow(_flag, "reading_id long, kind string")
+    return rows.select("var_no", "own_lo", "own_hi", "ids", "items", "label", "phys_lo", "phys_hi", "step", F.coalesce("fits", F.array().cast("array<long>")).alias("fits")).mapInArrow(_flag, "reading_id long, kind string")
 
 
 def implausible_readings(readings: DataFrame, sensors: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.operators import spikes as S
@@ -100,3 +101,53 @@ def test_table_edges(spark):
     assert S.implausible_readings(df, sensors.limit(0)).count() == 0
     tied = frame(spark, [(i, 1, "a", 1, None, None if i < 3 else T0, 2.0, None, 0.0, 0) for i in range(1, 8)] + [(None, 1, "a", 1, None, T0, 2.0, None, 0.0, 0)])
     assert {r.reading_id for r in S.implausible_readings(tied, sensors).collect()} == set(range(1, 8))
+
+
+def packed_rows(series):
+    """A batch of packed rows, as one Flat."""
+    n = np.cumsum([0] + [len(x) for x in series])
+    flat = np.concatenate(series)
+    k = len(series)
+    cols = [pa.array([1] * k, pa.int32()), pa.array([0] * k, pa.int32()), pa.array(np.diff(n), pa.int32()), pa.array(np.zeros(k, int)), S._lists(np.arange(len(flat)), n, pa.int64()), S._lists(flat, n, pa.float64())]
+    return S.Flat(pa.RecordBatch.from_arrays(cols, ["var_no", "own_lo", "own_hi", "flight_no", "ids", "items"]))
+
+
+def test_the_model_decides_what_is_nominated():
+    """Nominations and results change with a wrong scale or coefficient; a good model misses no spike of the rule."""
+    r = np.random.default_rng(3)
+    x = [np.cumsum(r.normal(0, 1, 2000)) for _ in range(4)]
+    for v in x:
+        v[r.integers(5, 1990, 40)] += r.choice([-25, 25], 40)
+    s = packed_rows(x)
+    step = np.median(np.concatenate([np.abs(np.diff(v)) for v in x]))
+    model = lambda phi, scale: S.Model(S._locations(s), *(np.full(4, z) for z in ((1 + phi) ** 0.5, (1 - phi) ** 0.5, scale / 1.4826)))
+    named = lambda m: {(k, int(j)) for i, k, _, _ in S.nominated(s.x, s, m, s.inner) for j in i}
+    n = len(x)
+    kinds = lambda m: S.judge(s, np.full(n, -np.inf), np.full(n, np.inf), np.full(n, step), [m], np.zeros(n, bool), np.zeros(n, bool))
+    good = model(0.995, 1.0)
+    want = {k for v, at in zip(x, s.offs) for k in (int(at) + j for j in brute(list(v), step, -np.inf, np.inf, ""))}
+    assert set(np.flatnonzero(kinds(good) == S.SPIKE).tolist()) == want and len(want) > 100
+    assert len(named(good)) < 0.1 * 3 * len(s.x)
+    for wrong in (model(-0.9, 1.0), model(0.995, 20.0), model(0.995, 0.05)):
+        assert abs(len(named(wrong)) - len(named(good))) > 0.3 * len(named(good))
+    assert (kinds(model(0.995, 20.0)) == S.SPIKE).sum() < 0.5 * len(want)
+    assert not (kinds(model(0.995, np.nan)) == S.SPIKE).any()
+
+
+def test_rounds_fit_the_source(spark):
+    """Coefficient and scale of a known autoregression over flights of different level; later rounds find what is left."""
+    r = np.random.default_rng(5)
+    data = {}
+    for flight in range(8):
+        x, e = np.zeros(1500), r.normal(0, 0.1, 1500)
+        for i in range(1, 1500):
+            x[i] = 0.8 * x[i - 1] + e[i]
+        x[r.integers(5, 1490, 10)] += 3.0
+        data[(flight, "a", 1)] = [float(v) for v in x + flight]
+    df, _, _ = tables(spark, data)
+    fits, _, found = S.fit_sources(S.materialize(S.pack_series(df)), rounds=4)
+    cells = np.array(fits.first().fits)
+    p, m, e = S._middle(cells[-3:])
+    last = S.Model(np.zeros(1), p, m, e)
+    assert abs(last.phi - 0.8) < 0.05 and abs(last.scale - 0.1) < 0.01
+    assert 75 <= found[0] <= 400 and found[1] < found[0] / 5
