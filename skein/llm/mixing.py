@@ -54,14 +54,10 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def shard_counts(shards: np.ndarray, shares: np.ndarray, blocks: np.ndarray, seed: int) -> np.ndarray:
-    """Blocks of each source in each shard: the whole part of its share, and a multinomial draw of the rest."""
+    """Blocks of each source in each shard: a multinomial draw of the shard's slots at the target shares."""
     out = np.zeros((len(shards), len(shares)), np.int64)
     for i, (shard, n) in enumerate(zip(shards.tolist(), blocks.tolist())):
-        exact = shares * n
-        whole = np.floor(exact + 1e-9).astype(np.int64)
-        rest = int(n - whole.sum())
-        part = np.maximum(exact - whole, 0)
-        out[i] = whole + (np.random.default_rng([seed, shard]).multinomial(rest, part / part.sum()) if rest > 0 and part.sum() > 0 else 0)
+        out[i] = np.random.default_rng([seed, shard]).multinomial(n, shares)
     return out
 
 
@@ -76,24 +72,37 @@ def place_documents(sizes: DataFrame, block_tokens: int, seed: int, group_rows:
 
 
 def _plan(totals: dict[str, int], targets: list, block_tokens: int, total_tokens: int | None) -> list[dict]:
-    """The sources that can be used, with share, blocks and repeats, and the largest mix that keeps every cap."""
+    """The sources that can be used, with share, blocks, repeats and cap, and the size at which draws are begun."""
     rows = [t for t in targets if t["source"] is not None and (t["target_share"] or 0) > 0 and totals.get(t["source"], 0) > 0 and (t["max_repeats"] or 0) > 0]
     weight = sum(t["target_share"] for t in rows)
-    plan = [{"source": t["source"], "share": t["target_share"] / weight, "repeats": int(t["max_repeats"]), "tokens": totals[t["source"]], "blocks": -(-totals[t["source"]] // block_tokens)} for t in rows]
-    # what a source can give at most, less a margin for the draw of each shard's remainder
-    most = min((p["repeats"] * p["blocks"] / p["share"] for p in plan), default=0)
-    most = max(0.0, most - 3 * most**0.5)
+    plan = [{"source": t["source"], "share": t["target_share"] / weight, "repeats": int(t["max_repeats"]), "blocks": -(-totals[t["source"]] // block_tokens)} for t in rows]
+    plan = [p | {"cap": p["repeats"] * p["blocks"]} for p in plan]
+    # four deviations of a source's draw beyond its cap: where the draws reach it is found from the draws themselves
+    most = min(((p["cap"] + 4 * p["cap"] ** 0.5 + 4) / p["share"] for p in plan), default=0)
     size = int(most if total_tokens is None else min(most, total_tokens / block_tokens))
     return [p | {"size": size} for p in plan]
 
 
+def _first_over(runs: DataFrame, plan: list[dict], by: str, before: dict[str, int]) -> tuple[int | None, dict[str, int]]:
+    """The first value of column `by` at which some source's draws (source, by, t) pass its cap, and each source's draws before it."""
+    cum = F.sum("t").over(W.partitionBy("source").orderBy(by))
+    caps = F.create_map(*[F.lit(x) for p in plan for x in (p["source"], p["cap"] - before.get(p["source"], 0))])
+    table = runs.withColumn("upto", cum)
+    first = table.where(F.col("upto") > F.try_element_at(caps, F.col("source"))).agg(F.min(by)).first()[0]
+    if first is None:
+        return None, before
+    own = {r["source"]: r["t"] for r in runs.where(F.col(by) < first).groupBy("source").agg(F.sum("t").alias("t")).collect()}  # a line per source
+    return first, {p["source"]: before.get(p["source"], 0) + own.get(p["source"], 0) for p in plan}
+
+
 def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, total_tokens: int | None = None, seed: int = 17) -> DataFrame:
     """(shard, slot, source, block, epoch, doc_id, from_token, n_tokens): the mix, as token ranges of documents.
 
     Each source's documents are packed into blocks of block_tokens (the last may be shorter). A shard has shard_blocks
     slots; each slot holds one block, made of the listed ranges. A block is used at most max_repeats times, once per
-    epoch, so no token of a document is used more often. Without total_tokens the mix is as large as the caps allow at
-    the target shares; every slot up to there is filled. Documents with a null or untargeted source, and null or empty texts, take no part; a target
+    epoch, so no token of a document is used more often. The ranges are the result: tokens are counted and placed, and a
+    reader encodes a document once and cuts it there. Without total_tokens the mix is as large as the caps allow: it ends
+    with the last shard before the one whose draw would pass a source's cap, and every slot up to there is filled. Documents with a null or untargeted source, and null or empty texts, take no part; a target
     source without any tokens is left out and the other shares are scaled up. Repeated rows count each for themselves.
     Empty tables give no rows.
     """
@@ -119,34 +128,35 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
         n_shards = -(-n_blocks // shard_blocks)
         return spark.range(0, n_shards, 1, max(1, min(1000, n_shards // 500 + 1))).mapInArrow(draw, "shard long, source string, n long, slot long").where("n > 0")
 
-    # a draw that passes a cap is made again for a mix smaller by what was too much, so that no slot stays empty
-    while n_blocks:
-        used = {r["source"]: r["t"] for r in draws(n_blocks).groupBy("source").agg(F.sum("n").alias("t")).collect()}  # a line per source
-        over = max((used.get(p["source"], 0) - p["repeats"] * p["blocks"]) / p["share"] for p in plan)
-        if over <= 0:
-            break
-        n_blocks = max(0, n_blocks - int(np.ceil(over)))
+    if n_blocks:
+        # the draws are fitted to the caps before any slot is mapped: first the run that passes one, then the shard in it
+        all_ = draws(n_blocks).withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
+        run, before = _first_over(materialize(all_.groupBy("source", "run").agg(F.sum("n").alias("t"))), plan, "run", {})
+        if run is not None:
+            shard, _ = _first_over(all_.where(F.col("run") == run).select("source", "shard", F.col("n").alias("t")), plan, "shard", before)
+            n_blocks = shard * shard_blocks
+        if not n_blocks:  # not even one shard of that size: the largest part of it that keeps the caps
+            n = np.array([shard_counts(np.zeros(1, int), shares, np.array([k]), seed)[0] for k in range(shard_blocks + 1)])
+            n_blocks = int(np.flatnonzero((n <= [p["cap"] for p in plan]).all(1)).max())
     counts = draws(n_blocks).withColumn("run", F.expr(f"shard div {RUN_SHARDS}"))
     runs = counts.groupBy("source", "run").agg(F.sum("n").alias("t"))
     base = runs.select("source", "run", (F.sum("t").over(W.partitionBy("source").orderBy("run")) - F.col("t")).alias("base"))
     inside = F.sum("n").over(W.partitionBy("source", "run").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     ordered = lookup_join(counts.withColumn("inside", inside), base, ["source", "run"]).select("shard", "source", "n", "slot", (F.col("base") + F.col("inside")).alias("at"))
-    of = {p["source"]: (i, p["blocks"], p["repeats"]) for i, p in enumerate(plan)}
+    of = {p["source"]: (i, p["blocks"]) for i, p in enumerate(plan)}
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.column(2).to_numpy()
             row = np.repeat(np.arange(len(n)), n)
             within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            info = np.array([of[s] for s in b.column(1).to_pylist()], np.int64).reshape(-1, 3)[row]
+            info = np.array([of[s] for s in b.column(1).to_pylist()], np.int64).reshape(-1, 2)[row]
             j = b.column(4).to_numpy()[row] + within
             epoch = j // info[:, 1]
             key = mix((info[:, 0] * 1_000_003 + epoch * 7919 + seed).astype(np.uint64))
             block = permute(j % info[:, 1], info[:, 1], key)
-            ok = epoch < info[:, 2]
-            row, within = row[ok], within[ok]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(row)), pa.array((b.column(3).to_numpy()[row] + within).astype(np.int32)), b.column(1).take(pa.array(row)), pa.array(block[ok]), pa.array(epoch[ok].astype(np.int32))],
+                [b.column(0).take(pa.array(row)), pa.array((b.column(3).to_numpy()[row] + within).astype(np.int32)), b.column(1).take(pa.array(row)), pa.array(block), pa.array(epoch.astype(np.int32))],
                 ["shard", "slot", "source", "block", "epoch"],
             )
 
@@ -164,9 +174,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, n_tokens, n_slots, most_uses): what the mix reached, for every target source."""
+    mixed = materialize(mixed)
     use = mixed.groupBy("source", "doc_id", "from_token").agg(F.count("*").alias("uses"), F.sum("n_tokens").alias("n"))
     by = use.groupBy("source").agg(F.sum("n").alias("n_tokens"), F.max("uses").alias("most_uses"))
+    slots = mixed.groupBy("source", "shard").agg(F.count_distinct("slot").alias("k")).groupBy("source").agg(F.sum("k").alias("n_slots"))
     total = F.sum("n_tokens").over(W.partitionBy())  # one row per source is left here
-    got = by.withColumn("actual_share", F.col("n_tokens") / total)
+    got = by.withColumn("actual_share", F.col("n_tokens") / total).join(slots, "source")
     zero = lambda c, t: F.coalesce(c, F.lit(0).cast(t)).alias(c)
-    return targets.select("source", "target_share").join(got, "source", "left").select("source", "target_share", zero("actual_share", "double"), zero("n_tokens", "long"), zero("most_uses", "long"))
+    return targets.select("source", "target_share").join(got, "source", "left").select("source", "target_share", zero("actual_share", "double"), zero("n_tokens", "long"), zero("n_slots", "long"), zero("most_uses", "long"))
