@@ -154,16 +154,15 @@ class Model:
         return np.where(s.inner, e, 0.0)
 
 
-def _locations(s: Flat) -> np.ndarray:
-    """The median of each packed row (nan where it has no finite reading)."""
-    ok = np.isfinite(s.x)
-    v, row, n = s.x[ok], s.row[ok], len(s.var)
+def _medians(v: np.ndarray, use: np.ndarray, s: Flat) -> tuple[np.ndarray, np.ndarray]:
+    """The median of v over the readings in use of each packed row (nan where it has none), and their number."""
+    v, row, n = v[use], s.row[use], len(s.var)
     v = v[np.lexsort((v, row))]
     count = np.bincount(row, minlength=n)
     first = np.cumsum(count) - count
     out, has = np.full(n, np.nan), count > 0
     out[has] = (v[first[has] + (count[has] - 1) // 2] + v[first[has] + count[has] // 2]) / 2
-    return out
+    return out, count
 
 
 def _models(s: Flat) -> list[Model]:
@@ -172,15 +171,16 @@ def _models(s: Flat) -> list[Model]:
     width = int(np.diff(rounds.offsets.to_numpy()).max(initial=0))
     flat = np.full((len(s.var), width + -width % 3), _NO_KEY)  # a source without any step has no fit
     flat[np.diff(rounds.offsets.to_numpy()) == width, :width] = rounds.flatten().to_numpy().reshape(-1, width) if width else 0
-    mids, mu = np.where(flat == _NO_KEY, np.nan, _middle(flat)), _locations(s)
+    mids, mu = np.where(flat == _NO_KEY, np.nan, _middle(flat)), _medians(s.x, np.isfinite(s.x), s)[0]
     return [Model(mu, *mids[:, k : k + 3].T) for k in range(0, mids.shape[1], 3)]
 
 
 def _counter(kind: str):
-    """A pass that counts, per source, readings by the cell of what is to get its median, and (what -1) how many are new.
+    """A pass that gives, per source, weights by the cell of what is to get its median, and (what -1) how many readings are new.
 
-    first: steps (1), sums (2) and differences (3) of neighbours about the location; scale: residuals (4); again: 2 to 4
-    on the series as cleaned by all rounds so far, residuals with the last round's coefficient.
+    first: the steps (1), and each series' median sum (2) and difference (3) of neighbours about its location; scale: each
+    series' median residual (4); again: 2 to 4 on the series as cleaned by all rounds so far, residuals with the last
+    round's coefficient. A series weighs as much as it has readings.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def _counter(kind: str):
             s = Flat(b)
             tails = s.col["tail"].dictionary_encode()
             var, code = np.unique(s.var, return_inverse=True)
-            key = (tails.indices.to_numpy().astype(np.int64) * len(var) + code)[s.row]
+            key = tails.indices.to_numpy().astype(np.int64) * len(var) + code
             x, found = s.x, 0
             models = _models(s) if kind != "first" else []
             if kind == "again":
@@ -200,21 +200,25 @@ def _counter(kind: str):
                 d[1:] = np.diff(x)
             d[~s.inner] = 0
             moved = s.owned & (d != 0) & np.isfinite(d)  # readings that repeat the one before say nothing of the scatter
-            parts = [(1, moved, np.abs(d))] if kind == "first" else []
+            parts = [(1, key[s.row[moved]], np.abs(d[moved]), np.ones(int(moved.sum())))] if kind == "first" else []
+            of_rows = []
             if kind != "scale":
-                mu, around = _locations(s), np.zeros(len(x))
+                mu, around = _medians(s.x, np.isfinite(s.x), s)[0], np.zeros(len(x))
                 with np.errstate(invalid="ignore"):
                     around[1:] = x[1:] + x[:-1] - 2 * mu[s.row[1:]]
-                parts += [(2, moved & np.isfinite(around), np.abs(around)), (3, moved, np.abs(d))]
+                of_rows += [(2, around), (3, d)]
             if kind != "first":
-                e = models[-1].residuals(x, s)
-                parts += [(4, moved & np.isfinite(e), np.abs(e))]
+                of_rows += [(4, models[-1].residuals(x, s))]
+            for what, v in of_rows:
+                v, n = _medians(np.abs(v), moved & np.isfinite(v), s)
+                parts.append((what, key[n > 0], v[n > 0], n[n > 0]))
             # kind, source and cell in one number: cells are of 20 bits
             wide = len(tails.dictionary) * len(var)
-            packed, n = np.unique(np.concatenate([((what * wide + key[use]) << 20) + _cell(v[use]) + (1 << 19) for what, use, v in parts]), return_counts=True)
-            at, cell = np.concatenate(((packed >> 20) % wide, [0])), (packed & ((1 << 20) - 1)) - (1 << 19)
+            all_, back = np.unique(np.concatenate([((what * wide + k) << 20) + _cell(v) + (1 << 19) for what, k, v, _ in parts]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([w for *_, w in parts]), len(all_))
+            at, cell = np.concatenate(((all_ >> 20) % wide, [0])), (all_ & ((1 << 20) - 1)) - (1 << 19)
             yield pa.RecordBatch.from_arrays(
-                [tails.dictionary.take(pa.array(at // len(var))), pa.array(var[at % len(var)], pa.int32()), pa.array(np.concatenate(((packed >> 20) // wide, [-1])), pa.int32()),
+                [tails.dictionary.take(pa.array(at // len(var))), pa.array(var[at % len(var)], pa.int32()), pa.array(np.concatenate(((all_ >> 20) // wide, [-1])), pa.int32()),
                  pa.array(np.concatenate((cell, [0]))), pa.array(np.concatenate((n, [found])).astype(np.int64))],
                 ["tail", "var_no", "what", "cell", "n"],
             )
@@ -366,11 +370,11 @@ def _count(packed: DataFrame, kind: str, fits: DataFrame | None) -> DataFrame:
 def fit_sources(packed: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, list[int]]:
     """(tail, var_no, fits), the first pass's cells, and the number of readings that each round but the last found to be outliers.
 
-    Rounds of a robust autoregression of order one: each series has its own location (median); coefficient (from the
-    medians of sums and differences of neighbours) and scale (median absolute residual) are those of the source over all
-    its flights. Outliers are tested and replaced, and both are fitted again on the cleaned series, until a round finds
-    nothing new or `rounds` are done. Medians are those of histogram cells, good to 1 in 128. fits holds the cells of each
-    round.
+    Rounds of a robust autoregression of order one: each series has its own location (median); coefficient (from sums
+    and differences of neighbours) and scale (absolute residuals) are those of the source: the weighted median over all its
+    series of their medians. Outliers are tested and replaced, and both are fitted again on the cleaned series, until a round finds
+    nothing new or `rounds` are done. They are kept as histogram cells, good to 1 in 128; fits holds those
+    of each round.
     """
     first = _count(packed, "first", None)
     cell = lambda k: F.coalesce(F.max(F.when(F.col("what") == k, F.col("cell"))), F.lit(_NO_KEY))

@@ -120,7 +120,7 @@ def test_the_model_decides_what_is_nominated():
         v[r.integers(5, 1990, 40)] += r.choice([-25, 25], 40)
     s = packed_rows(x)
     step = np.median(np.concatenate([np.abs(np.diff(v)) for v in x]))
-    model = lambda phi, scale: S.Model(S._locations(s), *(np.full(4, z) for z in ((1 + phi) ** 0.5, (1 - phi) ** 0.5, scale / 1.4826)))
+    model = lambda phi, scale: S.Model(S._medians(s.x, np.isfinite(s.x), s)[0], *(np.full(4, z) for z in ((1 + phi) ** 0.5, (1 - phi) ** 0.5, scale / 1.4826)))
     named = lambda m: {(k, int(j)) for i, k, _, _ in S.nominated(s.x, s, m, s.inner) for j in i}
     n = len(x)
     kinds = lambda m: S.judge(s, np.full(n, -np.inf), np.full(n, np.inf), np.full(n, step), [m], np.zeros(n, bool), np.zeros(n, bool))
