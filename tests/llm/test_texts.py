@@ -122,18 +122,38 @@ def test_mix_meets_shares_and_caps(spark, monkeypatch):
     assert max(uses.values()) <= 3
 
 
-def test_mix_leaves_no_slot_empty(spark):
-    """A seed whose draw passes the cap of a small source."""
+def test_draws_end_before_a_cap_is_passed(spark, monkeypatch):
+    """50 seeds with a binding source of share 0.01: the draws up to the last shard keep every cap, one more would not."""
+    plan = [{"source": "small", "share": 0.01, "repeats": 1, "blocks": 40, "cap": 40, "size": 7000}, {"source": "big", "share": 0.99, "repeats": 1, "blocks": 10**6, "cap": 10**6, "size": 7000}]
+    shards, shares = np.arange(7000 // 16), np.array([0.01, 0.99])
+    rows, want = [], {}
+    for seed in range(50):
+        n = mixing.shard_counts(shards, shares, np.full(len(shards), 16), seed)
+        rows += [(seed, name, int(k), int(c)) for i, name in enumerate(("small", "big")) for k, c in enumerate(n[:, i])]
+        want[seed] = int(np.argmax(np.cumsum(n[:, 0]) > 40))
+    table = spark.createDataFrame(rows, "seed int, source string, shard long, t long").cache()
+    for seed in range(0, 50, 7):
+        assert mixing._first_over(table.where(f"seed = {seed}").drop("seed"), plan, "shard", {})[0] == want[seed]
+    assert all(w > 100 for w in want.values())
+
+
+@pytest.mark.parametrize("seed,runs", [(1, 10_000), (2, 7), (3, 10_000), (4, 1)])
+def test_mix_leaves_no_slot_empty(spark, monkeypatch, seed, runs):
+    """A small source binds: every slot is filled, no block is used too often, and the next shard would pass the cap."""
+    monkeypatch.setattr(mixing, "RUN_SHARDS", runs)
     rows = [(1, "small", "x " * 320), (2, "big", "x " * 9000)]
     size = dict(zip(["small", "big"], tokens.count_tokens([t for _, _, t in rows], VOCAB).tolist()))
     targets = [{"source": "small", "target_share": 0.04, "max_repeats": 1}, {"source": "big", "target_share": 0.96, "max_repeats": 1}]
     plan = mixing._plan(size, targets, 8, None)
-    n, shares = plan[0]["size"], np.array([p["share"] for p in plan])
-    shards = np.arange(-(-n // 16))
-    seed = next(k for k in range(300) if mixing.shard_counts(shards, shares, np.minimum(16, n - shards * 16), k)[:, 0].sum() > plan[0]["blocks"])
     mixed = mixing.mix_sources(docs_of(spark, rows), spark.createDataFrame([tuple(t.values()) for t in targets], "source string, target_share double, max_repeats int"), block_tokens=8, shard_blocks=16, seed=seed)
-    slots = sorted({(x.shard, x.slot) for x in mixed.collect()})
-    assert len(slots) > 0.9 * n and slots == [(k // 16, k % 16) for k in range(len(slots))]
+    got = mixed.collect()
+    slots = sorted({(x.shard, x.slot) for x in got})
+    n = len(slots) // 16
+    assert n > 30 and slots == [(k // 16, k % 16) for k in range(16 * n)]
+    shares, caps = np.array([p["share"] for p in plan]), np.array([p["cap"] for p in plan])
+    used = np.cumsum(mixing.shard_counts(np.arange(n + 1), shares, np.full(n + 1, 16), seed), axis=0)
+    assert (used[n - 1] <= caps).all() and (used[n] > caps).any()
+    assert len({(x.source, x.block) for x in got}) == len(slots)
 
 
 def test_mix_edges(spark):
