@@ -2,7 +2,8 @@
 
 Shards are cells of coarse centroids (fitted on a bounded sample; every vector is indexed), and crowded cells are split
 further. A vector searches its own shard first; the distance it finds bounds how far a better one can be, and it then
-visits just those other shards that reach within that distance of it.
+visits, of the other cells that reach within that distance of it, the few nearest. So the work for a vector does not grow
+with the number of shards.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from skein.llm.graph_index import SEARCH_BEAM, Graph
 from skein.session import lookup_join, materialize, row_count
 
-#: Vectors of a shard; the bounded sample that centroids are fitted on; queries that one task puts to a shard.
-SHARD_ROWS, FIT_ROWS, CHUNK_QUERIES = 20_000, 20_000, 8_000
+#: Vectors of a shard; rows of the sample that centroids are fitted on, at least and at most; queries that one task puts to a shard.
+SHARD_ROWS, FIT_ROWS, MOST_FIT_ROWS, CHUNK_QUERIES = 8_000, 20_000, 100_000, 8_000
 #: Cells at most, which bounds what every task needs to know of them; beyond that cells hold several shards each.
-MAX_CELLS = 2_000
+MAX_CELLS = 10_000
+#: Other cells that a vector visits at most: recall lost by it is measured in README. One that found fewer than k visits all.
+PROBES = 4
 #: Candidates of each shard that are measured exactly.
 SPARE = 5
 INDEX = "shard long, ids array<long>, vecs array<double>, rows array<int>, shape array<int>, links array<int>"
@@ -63,7 +66,7 @@ def _exact(q: np.ndarray, rows: np.ndarray, vecs: np.ndarray) -> np.ndarray:
     return np.sqrt(np.where(rows >= 0, d, np.inf))
 
 
-def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "vals", dim: int = 64, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "vals", dim: int = 64, shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM, probes: int = PROBES) -> DataFrame:
     """(item, neighbour, distance, rank): the k nearest other items of every usable item, by Euclidean distance.
 
     At equal distance the smaller item comes first. Items with equal vectors share one place in the index and are told
@@ -79,10 +82,9 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
     heads = materialize(items.join(few.where("r = 1").select("id"), "id").select("id", "v"))
     n = row_count(heads)
     cells = min(MAX_CELLS, max(1, math.ceil(n / shard_rows)))
-    sample = np.array([r["v"] for r in heads.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()], float).reshape(-1, dim)
+    sample = np.array([r["v"] for r in heads.orderBy(F.xxhash64("id"), "id").limit(min(MOST_FIT_ROWS, max(FIT_ROWS, 10 * cells))).select("v").collect()], float).reshape(-1, dim)
     cent = fit_centroids(sample, cells) if len(sample) else np.zeros((1, dim))
     c2 = (cent * cent).sum(1)
-    gap = np.sqrt(np.maximum(c2[:, None] + c2[None] - 2 * cent @ cent.T, 1e-18))
 
     def cell_of(batches):
         for b in _parts(batches):
@@ -133,9 +135,15 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
             d2 = np.maximum((v * v).sum(1)[:, None] + c2[None] - 2 * v @ cent.T, 0)
             own = d2[np.arange(len(v)), cell]
             # no vector of another cell is nearer than the plane midway between the two centroids
-            far = (d2 - own[:, None]) / (2 * gap[cell])
-            far[np.arange(len(v)), cell] = 0
-            r, c = np.nonzero(far <= np.where(np.isfinite(u), u, np.inf)[:, None] + 1e-9)
+            gap = np.sqrt(np.maximum(c2[cell][:, None] + c2[None] - 2 * cent[cell] @ cent.T, 1e-18))
+            far = (d2 - own[:, None]) / (2 * gap)
+            far[np.arange(len(v)), cell] = -np.inf
+            d2[far > u[:, None] + 1e-9] = np.inf
+            d2[np.arange(len(v)), cell] = -1.0
+            if probes + 1 < len(cent):
+                bound = np.partition(d2, probes, axis=1)[:, probes]
+                d2[(d2 > bound[:, None]) & np.isfinite(u)[:, None]] = np.inf
+            r, c = np.nonzero(np.isfinite(d2))
             n_parts = np.array([parts.get(x, 0) for x in range(len(cent))])[c]
             r, c, sub = np.repeat(r, n_parts), np.repeat(c, n_parts), np.concatenate([np.arange(x) for x in n_parts.tolist()] or [np.zeros(0)]).astype(np.int64)
             to = c.astype(np.int64) * 1_000_000 + sub
