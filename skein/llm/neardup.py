@@ -3,9 +3,11 @@
 A record is its set of runs of k consecutive values. Its fingerprint is a vector of min-hashes. Tables of three
 coordinates form a space in which the words of a parity code (any two coordinates determine the third) are the
 anchors: the code covers the space with radius one, and a vector lies within that radius of exactly the three anchors
-that its pairs of coordinates determine. Each fingerprint is replicated to all of them, so two fingerprints that differ
-in at most one coordinate of a table share an anchor, where they are compared bit by bit; survivors are verified on the
-sets themselves. With ten tables a pair at similarity 0.6 misses every anchor with a probability of 3 in 100,000.
+that its pairs of coordinates determine. Each fingerprint is replicated to all of them. Two fingerprints within distance
+one in some table share an anchor there for certain: by the triangle inequality alone that would take radius plus
+threshold, two, which is every anchor that shares one coordinate; as any two coordinates determine a word of this code,
+the radius is enough. At an anchor fingerprints are compared bit by bit; survivors are verified on the sets themselves.
+With ten tables a pair at similarity 0.6 is beyond distance one in all of them with a probability of 3 in 100,000.
 
 Records that share a crowded anchor are also joined by an exact way (a prefix filter over rare runs first), which
 then replaces that anchor.
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 
 from skein.llm.components import star_labels
 from skein.llm.tokens import Slice, mix, span_hash
-from skein.session import materialize
+from skein.session import lookup_join, materialize, release, row_count
 
 TABLES, RUN, SIMILARITY = 10, 3, 0.6
 #: Bits of the comparison at an anchor, and how many may differ: five deviations above the mean of 0.2 at 0.6.
 SKETCH_BITS, SKETCH_LIMIT = 128, 49
 #: An anchor with more fingerprints than this is crowded.
 CROWD = 400
+#: Members of a key that one task joins with one another.
+PART = 2_000
 SIGN = "rec_id long, n int, key_a long, key_b long, sketch_a long, sketch_b long, runs array<long>, anchors array<long>"
 
 
@@ -129,23 +133,78 @@ def _fits(similarity: float) -> str:
     return f"least(a.n, b.n) >= {similarity} * greatest(a.n, b.n) - 1e-9"
 
 
+def _meet(similarity: float, crowd: int):
+    """Of rows (anchor, rec_id, n, sketch_a, sketch_b) sorted by anchor and rec_id: candidates (a, b), and (a, null) for records of a crowded anchor."""
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        anchor, rec, n, sa, sb = (t.column(k).to_numpy() for k in range(5))
+        sa, sb = sa.view(np.uint64), sb.view(np.uint64)
+        first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+        size = np.diff(np.concatenate((first, [len(anchor)])))
+        full = np.repeat(size > crowd, size)
+        left = np.repeat(first + size, size) - np.arange(len(anchor)) - 1  # partners that come later at the same anchor
+        left[full] = 0
+        out = []
+        live, d = np.flatnonzero(left > 0), 1
+        while len(live):
+            i, j = live, live + d
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            apart = np.bitwise_count(sa[i] ^ sa[j]).astype(np.int64) + np.bitwise_count(sb[i] ^ sb[j])
+            ok = (lo >= similarity * hi - 1e-9) & (apart <= SKETCH_LIMIT) & (rec[i] != rec[j])
+            out.append((rec[i[ok]], rec[j[ok]]))
+            d += 1
+            live = live[left[live] >= d]
+        a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+        alone = np.unique(rec[full])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate((pairs[0], alone))), pa.array(np.concatenate((pairs[1], alone)), mask=np.arange(pairs.shape[1] + len(alone)) >= pairs.shape[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, crowded = None, None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([carry, t]).combine_chunks() if carry is not None else t
+            if not t.num_rows:
+                continue
+            anchor = t.column(0).to_numpy()
+            if crowded is not None and anchor[0] != crowded:
+                crowded = None
+            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if crowded is not None:  # its first rows were passed on: the rest of it is as crowded
+                more = int(np.searchsorted(anchor, crowded, "right"))
+                own = np.unique(t.column(1).to_numpy()[:more])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(own), pa.int64())], ["a", "b"])
+                t, cut = t.slice(more), max(0, cut - more)
+            if cut:
+                yield compare(t.slice(0, cut).combine_chunks())
+            carry = t.slice(cut)
+            if carry.num_rows > crowd:
+                crowded = int(carry.column(0)[0].as_py())
+                yield compare(carry.combine_chunks())
+                carry = None
+        if carry is not None and carry.num_rows:
+            yield compare(carry.combine_chunks())
+
+    return run
+
+
 def class_pairs(classes: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(a, b): ids a < b of the distinct sets that share at least `similarity` of their union."""
-    spots = classes.select("rec_id", "n", "sketch_a", "sketch_b", F.explode("anchors").alias("anchor"))
-    # only anchors that two sets share go on; the count is map-side combined, so a crowded anchor is one row
-    sizes = spots.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    held = materialize(spots.join(sizes, "anchor"))
-    open_ = held.where(F.col("c") <= crowd)
-    near = F.expr(f"a.anchor = b.anchor and a.rec_id < b.rec_id and {_fits(similarity)} and bit_count(a.sketch_a ^ b.sketch_a) + bit_count(a.sketch_b ^ b.sketch_b) <= {SKETCH_LIMIT}")
-    cand = open_.alias("a").join(open_.alias("b"), near).select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"))
-    crowded = held.where(F.col("c") > crowd).select("rec_id").distinct()
+    spots = classes.select(F.explode("anchors").alias("anchor"), "rec_id", "n", "sketch_a", "sketch_b")
+    met = materialize(spots.repartition("anchor").sortWithinPartitions("anchor", "rec_id").mapInArrow(_meet(similarity, crowd), "a long, b long").distinct())
+    cand = met.where("b is not null")
+    crowded = met.where("b is null").select(F.col("a").alias("rec_id"))
     if crowded.limit(1).count():
-        cand = cand.union(_prefix_pairs(classes.select("rec_id", "n", "runs").join(crowded, "rec_id"), similarity))
-    cand = cand.distinct()
-    sets = classes.select("rec_id", "n", "runs")
+        cand = cand.union(_prefix_pairs(classes.select("rec_id", "n", "runs").join(crowded, "rec_id"), similarity)).distinct()
+    cand = materialize(cand)
+    # only sets that some candidate needs travel to it
+    needed = materialize(cand.select(F.explode(F.array("a", "b")).alias("rec_id")).distinct())
+    sets = lookup_join(classes.select("rec_id", "n", "runs"), needed, ["rec_id"], "left_semi")
     both = cand.join(sets.select(F.col("rec_id").alias("a"), F.col("n").alias("na"), F.col("runs").alias("ra")), "a").join(sets.select(F.col("rec_id").alias("b"), F.col("n").alias("nb"), F.col("runs").alias("rb")), "b")
     shared = F.size(F.array_intersect("ra", "rb"))
-    return both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b")
+    found = materialize(both.where(shared >= similarity * (F.col("na") + F.col("nb") - shared) - 1e-9).select("a", "b"))
+    release(met, cand, needed)
+    return found
 
 
 def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
@@ -153,34 +212,61 @@ def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     runs = sets.select("rec_id", "n", F.explode("runs").alias("run"))
     df = runs.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
     ranked = runs.join(df, "run", "left").withColumn("r", F.row_number().over(W.partitionBy("rec_id").orderBy(F.coalesce("df", F.lit(1)), "run")))
-    kept = materialize(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("df > 1").select("rec_id", "n", "run", "r"))
+    kept = materialize(ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).where("df > 1").select("rec_id", "n", "run", "r", "df"))
     # of the runs a pair shares the prefix positions also bound the overlap that is left
-    cond = F.expr(f"a.run = b.run and a.rec_id < b.rec_id and {_fits(similarity)} and 1 + least(a.n - a.r, b.n - b.r) >= {similarity} / (1 + {similarity}) * (a.n + b.n) - least(a.r, b.r) + 1 - 1e-9")
-    return kept.alias("a").join(kept.alias("b"), cond).select(F.col("a.rec_id").alias("a"), F.col("b.rec_id").alias("b"))
+    left, right = _in_parts(kept, "run", F.col("df"), "rec_id")
+    met = left.alias("a").join(right.alias("b"), F.expr(f"a.run = b.run and a.i = b.i and a.j = b.j and (a.i < a.j or a.rec_id < b.rec_id) and {_fits(similarity)} and 1 + least(a.n - a.r, b.n - b.r) >= {similarity} / (1 + {similarity}) * (a.n + b.n) - least(a.r, b.r) + 1 - 1e-9"))
+    return met.select(F.least("a.rec_id", "b.rec_id").alias("a"), F.greatest("a.rec_id", "b.rec_id").alias("b"))
+
 
+def _in_parts(rows: DataFrame, key: str, size, member: str, part: int = PART) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of the members of a key with one another: a large key is parted, and each pair of parts (i <= j) is a key of its own.
 
-def _classes(signed: DataFrame) -> DataFrame:
-    """One row per distinct set: the least record that has it, how many have it, and its signature."""
-    first = F.min_by(F.struct("n", "sketch_a", "sketch_b", "runs", "anchors"), "rec_id")
-    return signed.groupBy("key_a", "key_b").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("copies"), first.alias("s")).select("rec_id", "copies", "key_a", "key_b", "s.*")
+    Within a part (i = j) a pair of members meets in both orders, between parts in one.
+    """
+    r = rows.withColumn("parts", F.ceil(size / part).cast("int")).withColumn("p", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+    left = r.withColumn("i", F.col("p")).withColumn("j", F.explode(F.sequence(F.col("p"), F.col("parts") - 1)))
+    right = r.withColumn("j", F.col("p")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p"))))
+    return left.drop("parts", "p"), right.drop("parts", "p")
+
+
+def _signed(records: DataFrame, id_col: str, text_col: str, tables: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Signatures of all records (a repeated id counts once), (key_a, key_b, head, copies) of the distinct sets, and the signatures of their heads.
+
+    Only ids and keys are shuffled: signatures of repeated ids and of copies are taken out by the list of them.
+    """
+    rows = records.select(F.col(id_col).cast("long").alias("rec_id"), F.col(text_col).cast("string").alias("t"))
+    twice = materialize(rows.groupBy("rec_id").agg(F.count("*").alias("c")).where("c > 1 and rec_id is not null").select("rec_id"))
+    if row_count(twice):
+        again = lookup_join(rows, twice, ["rec_id"], "left_semi").groupBy("rec_id").agg(F.min("t").alias("t"))
+        rows = lookup_join(rows, twice, ["rec_id"], "left_anti").union(again)
+    signed = materialize(signatures(rows, "rec_id", "t", tables))
+    classes = materialize(signed.groupBy("key_a", "key_b").agg(F.min("rec_id").alias("head"), F.count("*").alias("copies")))
+    more = materialize(signed.select("rec_id", "key_a", "key_b").join(classes.where("copies > 1"), ["key_a", "key_b"]).where("rec_id <> head").select("rec_id"))
+    heads = lookup_join(signed, more, ["rec_id"], "left_anti")
+    return signed, classes, heads
 
 
 def similar_pairs(records: DataFrame, similarity: float = SIMILARITY, id_col: str = "rec_id", text_col: str = "raw_vals", tables: int = TABLES, crowd: int = CROWD) -> DataFrame:
     """(rec_a, rec_b): all pairs rec_a < rec_b of records whose sets of runs share at least `similarity` of their union.
 
-    Records with equal sets are one class while pairs are searched and are told apart only in the result. Null and
-    empty texts, and texts of fewer than three values, have no runs and are in no pair. Repeated ids count once; other
-    columns are not read. An empty table gives no rows.
+    Records with equal sets are one class while pairs are searched and are told apart only in the result; a class of many
+    copies is expanded part by part. Null and empty texts, and texts of fewer than three values, have no runs and are in
+    no pair. Repeated ids count once (the least text); other columns are not read. An empty table gives no rows.
     """
-    signed = materialize(signatures(records.dropDuplicates([id_col]), id_col, text_col, tables))
-    classes = materialize(_classes(signed))
-    pairs = materialize(class_pairs(classes, similarity, crowd))
-    member = signed.select("key_a", "key_b", F.col("rec_id").alias("m")).join(classes.select("key_a", "key_b", "rec_id"), ["key_a", "key_b"]).select("rec_id", "m")
-    alone = classes.select("rec_id").where("copies > 1")
-    within = member.join(alone, "rec_id")
-    same = within.alias("a").join(within.alias("b"), F.expr("a.rec_id = b.rec_id and a.m < b.m")).select(F.col("a.m").alias("rec_a"), F.col("b.m").alias("rec_b"))
-    apart = pairs.join(member.select(F.col("rec_id").alias("a"), F.col("m").alias("ma")), "a").join(member.select(F.col("rec_id").alias("b"), F.col("m").alias("mb")), "b")
-    return same.union(apart.select(F.least("ma", "mb").alias("rec_a"), F.greatest("ma", "mb").alias("rec_b")))
+    signed, classes, heads = _signed(records, id_col, text_col, tables)
+    pairs = class_pairs(heads, similarity, crowd)
+    member = materialize(signed.select("key_a", "key_b", F.col("rec_id").alias("m")).join(classes.where("copies > 1"), ["key_a", "key_b"]).select("head", "copies", "m"))
+    left, right = _in_parts(member, "head", F.col("copies"), "m")
+    same = left.alias("a").join(right.alias("b"), F.expr("a.head = b.head and a.i = b.i and a.j = b.j and (a.i < a.j or a.m < b.m)")).select(F.least("a.m", "b.m").alias("rec_a"), F.greatest("a.m", "b.m").alias("rec_b"))
+    out = pairs.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))
+    # members take the place of their heads, a part of a class at a time
+    salted = member.select("head", "m", F.pmod(F.xxhash64("m"), F.ceil(F.col("copies") / PART)).cast("int").alias("s"))
+    parts = materialize(classes.where("copies > 1").select("head", F.ceil(F.col("copies") / PART).cast("int").alias("parts")))
+    for end in ("rec_a", "rec_b"):
+        spread = lookup_join(out.withColumn("head", F.col(end)), parts, ["head"], "left").withColumn("s", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+        out = spread.join(salted, ["head", "s"], "left").withColumn(end, F.coalesce("m", end)).select("rec_a", "rec_b")
+    return same.union(out.select(F.least("rec_a", "rec_b").alias("rec_a"), F.greatest("rec_a", "rec_b").alias("rec_b")))
 
 
 def similar_groups(records: DataFrame, similarity: float = SIMILARITY, id_col: str = "rec_id", text_col: str = "raw_vals", tables: int = TABLES, crowd: int = CROWD) -> DataFrame:
@@ -189,13 +275,12 @@ def similar_groups(records: DataFrame, similarity: float = SIMILARITY, id_col: s
     class_id is the least record with the same set; group_id the least record linked directly or indirectly; n_links
     how many other records it is similar to, copies included. No pairs of copies are made.
     """
-    signed = materialize(signatures(records.dropDuplicates([id_col]), id_col, text_col, tables))
-    classes = materialize(_classes(signed))
-    pairs = materialize(class_pairs(classes, similarity, crowd))
+    signed, classes, heads = _signed(records, id_col, text_col, tables)
+    pairs = class_pairs(heads, similarity, crowd)
     labels = star_labels(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    size = classes.select("rec_id", "copies")
+    size = classes.select(F.col("head").alias("rec_id"), "copies")
     ends = pairs.select(F.col("a").alias("at"), F.col("b").alias("rec_id")).union(pairs.select(F.col("b").alias("at"), F.col("a").alias("rec_id")))
-    links = ends.join(size, "rec_id").groupBy("at").agg(F.sum("copies").alias("l")).withColumnRenamed("at", "rec_id")
-    of = classes.select("rec_id", "key_a", "key_b", "copies").join(labels.select(F.col("u").alias("rec_id"), F.col("v").alias("root")), "rec_id", "left").join(links, "rec_id", "left")
-    of = of.select("key_a", "key_b", F.col("rec_id").alias("class_id"), F.coalesce("root", "rec_id").alias("group_id"), (F.coalesce("l", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    links = ends.join(size, "rec_id").groupBy("at").agg(F.sum("copies").alias("l")).withColumnRenamed("at", "head")
+    of = classes.join(labels.select(F.col("u").alias("head"), F.col("v").alias("root")), "head", "left").join(links, "head", "left")
+    of = of.select("key_a", "key_b", F.col("head").alias("class_id"), F.coalesce("root", "head").alias("group_id"), (F.coalesce("l", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return signed.select("rec_id", "key_a", "key_b").join(of, ["key_a", "key_b"]).select("rec_id", "class_id", "group_id", "n_links")

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,36 @@ def test_common_header_and_copies(spark):
     assert len(groups) == len(rows) and groups[120].class_id == 100 and groups[120].n_links == 40 and groups[200].group_id == 100 and groups[5].n_links == 0
 
 
+def test_hot_keys_are_parted(spark, monkeypatch):
+    """A class of copies and a run shared by all, in parts of seven members: the pairs are the same."""
+    r = random.Random(9)
+    shared = " ".join(f"{r.random():.3f}" for _ in range(30))
+    rows = [(i, shared) for i in range(0, 60, 2)] + [(i, shared + f" {i}.5 {i}.25") for i in range(1, 40, 2)] + [(100 + i, text) for i, (_, text) in enumerate(text_records(n=10))]
+    whole = {tuple(x) for x in neardup.similar_pairs(records(spark, rows)).collect()}
+    monkeypatch.setattr(neardup._in_parts, "__defaults__", (7,))
+    monkeypatch.setattr(neardup, "PART", 7)
+    for crowd in (400, 3):
+        got = [tuple(x) for x in neardup.similar_pairs(records(spark, rows), crowd=crowd).collect()]
+        assert len(got) == len(set(got)) and set(got) == whole == brute_pairs(rows)
+
+
+def test_an_anchor_over_several_batches():
+    """Candidates and crowded anchors do not depend on how rows are batched."""
+    r = np.random.default_rng(2)
+    anchor = np.sort(np.concatenate((r.integers(-50, 50, 400), np.full(60, 7))))
+    rec = np.arange(len(anchor)) % 97
+    order = np.lexsort((rec, anchor))
+    cols = [anchor[order], rec[order], np.full(len(anchor), 9, np.int32), r.integers(0, 2**62, len(anchor)) * 0, np.zeros(len(anchor), np.int64)]
+    t = pa.table([pa.array(c) for c in cols], ["anchor", "rec_id", "n", "sketch_a", "sketch_b"])
+    want = None
+    for rows in (1000, 64, 11, 3, 1):
+        got = {(x["a"], x["b"]) for b in neardup._meet(0.6, 20)(iter(t.to_batches(rows))) for x in b.to_pylist()}
+        want = want or got
+        assert got == want
+    crowded = {a for a, b in want if b is None}
+    assert crowded == set(rec[order][np.isin(cols[0], [x for x, n in zip(*np.unique(anchor, return_counts=True)) if n > 20])].tolist())
+
+
 def test_record_edges(spark):
     """Null, empty, short and very long texts, odd words, repeated ids, and an empty table."""
     long = " ".join(str(i % 1000) for i in range(60_000))
