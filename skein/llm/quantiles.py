@@ -15,10 +15,11 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.tokens import mix
-from skein.session import lookup_join
+from skein.session import lookup_join, materialize, row_count
 
 BITS, EXACT_BITS, ROWS, WIDTH = 16, 10, 5, 256
 #: Stated bound: the rank of an answer is off by at most this part of the number of values and one, but for one in a thousand.
@@ -33,8 +34,8 @@ TAIL_ERROR = 2.0 ** -(TAIL_BITS + 1)
 TAIL_HELD = 2_000_000
 LEVELS = BITS - EXACT_BITS
 CELLS = (1 << EXACT_BITS) + LEVELS * ROWS * WIDTH
-#: A sensor and day with more rows than this (and more than a 200th of all rows) is hot: it is spread over several tasks.
-HOT_ROWS = 2_000_000
+#: Readings that a task sketches at once, and sketches that it holds at once.
+SLICE_ROWS, SLICE_KEYS = 200_000, 200
 PARTIAL = "var_no int, day date, n long, sketch binary, tails binary"
 NO_TAILS = (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -176,42 +177,38 @@ def tails_from_bytes(b: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of sorted (var_no, day, reading_id, item, lo, hi) rows; a reading_id counts once."""
-    open_key, open_sketch, open_tails, open_n, last_id = None, None, NO_TAILS, 0, None
-
-    def out(keys: list, ns: list, sketches: list, tails: list) -> pa.RecordBatch:
-        v, d = zip(*keys)
-        return pa.RecordBatch.from_arrays([pa.array(v, pa.int32()), pa.array(np.array(d, "datetime64[D]")), pa.array(ns, pa.int64()), pa.array([to_bytes(s) for s in sketches], pa.binary()), pa.array([tails_to_bytes(t) for t in tails], pa.binary())], ["var_no", "day", "n", "sketch", "tails"])
-
-    for whole in batches:
-        for at in range(0, whole.num_rows, 20_000):
-            b = whole.slice(at, 20_000)
-            v, day, rid, x, lo, hi = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            day = day.astype("datetime64[D]").astype(np.int64)
-            new = np.ones(len(v), bool)
-            new[1:] = (v[1:] != v[:-1]) | (day[1:] != day[:-1])
-            fresh = np.ones(len(v), bool)
-            fresh[1:] = new[1:] | (rid[1:] != rid[:-1])
-            if open_key == (v[0], day[0]) and last_id == rid[0]:
-                fresh[0] = False
-            group = np.cumsum(new) - 1
-            first = np.flatnonzero(new)
-            code = encode(x[fresh], lo[fresh], hi[fresh])
-            sk, tails = build(code, group[fresh], len(first)), tails_of(code, group[fresh], len(first))
-            ns = np.bincount(group[fresh], minlength=len(first))
-            keys = [(int(v[i]), int(day[i])) for i in first]
-            if open_key is not None:
-                if keys[0] == open_key:
-                    sk[0] += open_sketch
-                    tails[0] = add_tails(tails[0], open_tails)
-                    ns[0] += open_n
-                else:
-                    yield out([open_key], [open_n], [open_sketch], [open_tails])
-            if len(keys) > 1:
-                yield out(keys[:-1], ns[:-1].tolist(), list(sk[:-1]), tails[:-1])
-            open_key, open_sketch, open_tails, open_n, last_id = keys[-1], sk[-1].copy(), tails[-1], int(ns[-1]), rid[-1]
-    if open_key is not None:
-        yield out([open_key], [open_n], [open_sketch], [open_tails])
+    """Sketches of (var_no, day, item, weight, lo, hi) rows in any order: one for each sensor and day of a slice of rows.
+
+    A slice is sorted by sensor and day and sketched a bounded number of keys at a time, however sparse they are.
+    """
+
+    def sketch(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        v, day, x, w, lo, hi = (t.column(k).to_numpy() for k in range(6))
+        day = day.astype("datetime64[D]").astype(np.int64)
+        order = np.lexsort((day, v))
+        v, day, x, w, lo, hi = (c[order] for c in (v, day, x, w, lo, hi))
+        first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (day[1:] != day[:-1]))))
+        code, ends = encode(x, lo, hi), np.concatenate((first, [len(v)]))
+        for k in range(0, len(first), SLICE_KEYS):
+            a, b = int(ends[k]), int(ends[min(len(first), k + SLICE_KEYS)])
+            at = first[k : k + SLICE_KEYS]
+            group = np.searchsorted(at, np.arange(a, b), "right") - 1
+            sk, tails = build(code[a:b], group, len(at), w[a:b]), tails_of(code[a:b], group, len(at), w[a:b])
+            n = np.rint(np.bincount(group, w[a:b], len(at))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v[at], pa.int32()), pa.array(day[at].astype("datetime64[D]")), pa.array(n), pa.array([to_bytes(z) for z in sk], pa.binary()), pa.array([tails_to_bytes(z) for z in tails], pa.binary())],
+                ["var_no", "day", "n", "sketch", "tails"],
+            )
+
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= SLICE_ROWS:
+            yield from sketch(pa.Table.from_batches(held).combine_chunks())
+            held, rows = [], 0
+    if rows:
+        yield from sketch(pa.Table.from_batches(held).combine_chunks())
 
 
 def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
@@ -248,51 +245,64 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(k, arrow[f.dataType.simpleString()]) for k, f in zip(keys, fields)] + [pa.array([x[0] for x in held.values()], pa.int64()), pa.array([to_bytes(x[1]) for x in held.values()], pa.binary()), pa.array([tails_to_bytes(x[2]) for x in held.values()], pa.binary())], [*(f.name for f in fields), "n", "sketch", "tails"])
 
     names = [f.name for f in fields]
-    by = names
     part = sketches.select(*names, "n", "sketch", "tails").mapInArrow(add, schema)
-    return part.repartition(*names).mapInArrow(add_sorted(by, pack), schema)
+    return part.repartition(*names).sortWithinPartitions(*names).mapInArrow(add_sorted(names, pack), schema)
 
 
 def add_sorted(by: list[str], pack):
-    """Adds all sketches of a partition, which holds each key whole."""
+    """Adds up the sketches of each key, which stand side by side: one key is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        open_, held = None, None
         for b in batches:
             cols = b.to_pydict()
+            done: dict = {}
             for i in range(b.num_rows):
                 key = tuple(cols[c][i] for c in by)
-                if key in held:
-                    s = held[key]
-                    t = cols["tails"][i]
-                    both = tails_to_bytes(add_tails(tails_from_bytes(s[2]), tails_from_bytes(t))) if s[2] and t else s[2] or t
-                    held[key] = (s[0] + cols["n"][i], to_bytes(from_bytes(s[1]) + from_bytes(cols["sketch"][i])), both)
-                else:
-                    held[key] = (cols["n"][i], cols["sketch"][i], cols["tails"][i])
-        if held:
-            yield pack({k: (n, from_bytes(s), tails_from_bytes(t)) for k, (n, s, t) in held.items()})
+                one = [cols["n"][i], from_bytes(cols["sketch"][i]), tails_from_bytes(cols["tails"][i])]
+                if key == open_:
+                    held = [held[0] + one[0], held[1] + one[1], add_tails(held[2], one[2])]
+                    continue
+                if held is not None:
+                    done[open_] = held
+                    if len(done) >= SLICE_KEYS:
+                        yield pack(done)
+                        done = {}
+                open_, held = key, one
+            if done:
+                yield pack(done)
+        if held is not None:
+            yield pack({open_: held})
 
     return run
 
 
-def daily_sketches(readings: DataFrame, sensors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(var_no, day, n, sketch, tails): partial sketches per sensor and day, to be merged; see percentiles() for what counts."""
+def _counted(readings: DataFrame) -> DataFrame:
+    """(reading_id, var_no, day, item) of the rows that can count."""
+    r = readings.select(F.col("reading_id").cast("long").alias("reading_id"), F.col("var_no").cast("int").alias("var_no"), F.to_date("ts").alias("day"), F.col("item").cast("double").alias("item"))
+    return r.where("var_no is not null and day is not null and reading_id is not null and item is not null and not isnan(item)")
+
+
+def sketched(rows: DataFrame, sensors: DataFrame) -> DataFrame:
+    """(var_no, day, n, sketch, tails): partial sketches of (var_no, day, item, weight), made where the rows are read."""
     limits = sensors.where("phys_hi > phys_lo").select(F.col("var_no").cast("int").alias("var_no"), "phys_lo", "phys_hi").dropDuplicates(["var_no"])
-    r = readings.select(F.col("var_no").cast("int").alias("var_no"), F.to_date("ts").alias("day"), F.col("reading_id").cast("long").alias("reading_id"), F.col("item").cast("double").alias("item"))
-    r = r.where("var_no is not null and day is not null and reading_id is not null and item is not null and not isnan(item)")
-    total = readings.count()
-    bar = max(hot_rows, total // 200)
-    salt = F.lit(0)
-    if total > bar:
-        # fewer than 200 sensors and days can each own more than a 200th of the rows: that list is safe to broadcast
-        hot = F.broadcast(r.groupBy("var_no", "day").agg(F.count("*").alias("c")).where(F.col("c") > bar).select("var_no", "day", F.ceil(F.col("c") / bar).alias("parts")))
-        r = r.join(hot, ["var_no", "day"], "left")
-        salt = F.coalesce(F.pmod(F.xxhash64("reading_id"), F.col("parts")), F.lit(0))
-    # the join comes before the sort, which the optimizer would drop beneath a join
-    r = lookup_join(r.withColumn("salt", salt), limits, ["var_no"])
-    # copies of a reading share sensor, day and id, hence the partition
-    r = r.repartition("var_no", "day", "salt").sortWithinPartitions("var_no", "day", "reading_id")
-    return r.select("var_no", "day", "reading_id", "item", "phys_lo", "phys_hi").mapInArrow(_partials, PARTIAL)
+    return lookup_join(rows, limits, ["var_no"]).select("var_no", "day", "item", F.col("weight").cast("double").alias("weight"), "phys_lo", "phys_hi").mapInArrow(_partials, PARTIAL)
+
+
+def daily_sketches(readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """(var_no, day, n, sketch, tails): partial sketches per sensor and day, to be merged; see percentiles() for what counts.
+
+    Readings are sketched before anything is shuffled, so that a sensor and day of any size is a few sketches. Of the
+    readings only their ids are shuffled, to find those sent again; these are deleted from the sketches (weight -1).
+    """
+    r = _counted(readings)
+    again = materialize(r.groupBy("reading_id").agg(F.count("*").alias("c")).where("c > 1").select("reading_id"))
+    whole = sketched(r.withColumn("weight", F.lit(1)), sensors)
+    if not row_count(again):
+        return whole
+    copy = F.row_number().over(W.partitionBy("reading_id").orderBy("var_no", "day", "item"))
+    more = lookup_join(r, again, ["reading_id"], "left_semi").withColumn("copy", copy).where("copy > 1").withColumn("weight", F.lit(-1))
+    return whole.union(sketched(more, sensors))
 
 
 def answers(sketches: DataFrame, sensors: DataFrame, quantiles: list[float], by: list[str]) -> DataFrame:
@@ -333,6 +343,34 @@ def percentiles(readings: DataFrame, sensors: DataFrame, quantiles: list[float]
     return answers(merge(daily_sketches(readings, sensors), by), sensors, quantiles, by)
 
 
+def without(sketches: DataFrame, readings: DataFrame, sensors: DataFrame) -> DataFrame:
+    """The sketches with readings (each listed once) deleted from them: a correction that needs no other reading."""
+    return sketches.union(sketched(_counted(readings).dropDuplicates(["reading_id"]).withColumn("weight", F.lit(-1)), sensors))
+
+
+def exact_percentiles(readings: DataFrame, sensors: DataFrame, quantiles: list[float] = QUANTILES, per_day: bool = False) -> DataFrame:
+    """(label, [day,] q, value): the exact percentiles (the value of rank floor(q (n - 1)), from 0), found by the sketches.
+
+    Answers twice the stated error below and above q enclose the exact one; a second pass counts what lies below, and each
+    distinct value between. If an answer is off by more than its bound the value is null.
+    """
+    day = ["day"] if per_day else []
+    found = materialize(answers(merge(daily_sketches(readings, sensors), ["var_no", *day]), sensors, sorted({z for q in quantiles for z in (max(0.0, q - 2 * RANK_ERROR), min(1.0, q + 2 * RANK_ERROR))}), ["var_no", *day]))
+    wide = (F.col("phys_hi") - F.col("phys_lo")) * MARGIN
+    of = sensors.where("phys_hi > phys_lo").select(F.col("var_no").cast("int").alias("var_no"), "label", ((F.col("phys_hi") - F.col("phys_lo") + 2 * wide) / (1 << BITS)).alias("cell"), (F.col("phys_lo") - wide).alias("lo"), (F.col("phys_hi") + wide).alias("hi")).dropDuplicates(["var_no"])
+    off = lambda p: F.greatest("cell", (F.col(p) - F.col("hi")) * 2 * TAIL_ERROR, (F.col("lo") - F.col(p)) * 2 * TAIL_ERROR)
+    name = lambda q: f"p{round(q * 100):02d}"
+    ends = [(q, name(max(0.0, q - 2 * RANK_ERROR)), name(min(1.0, q + 2 * RANK_ERROR))) for q in quantiles]
+    brackets = lookup_join(found, of, ["label"]).select("label", *day, "n", F.inline(F.array(*[F.struct(F.lit(q).alias("q"), (F.col(a) - off(a)).alias("from"), (F.col(b) + off(b)).alias("to")) for q, a, b in ends])))
+    r = lookup_join(_counted(readings).dropDuplicates(["reading_id"]), of.select("var_no", "label"), ["var_no"]).select("label", *day, "item")
+    met = lookup_join(r, materialize(brackets), ["label", *day]).where("item <= to")
+    # what lies below the bracket is one row per partition and group, what lies within one per distinct value
+    counts = materialize(met.groupBy("label", *day, "q", "n", F.when(F.col("item") >= F.col("from"), F.col("item") + 0.0).alias("value")).agg(F.count("*").alias("c")))
+    upto = F.sum("c").over(W.partitionBy("label", *day, "q").orderBy(F.col("value").asc_nulls_first()))
+    rank = F.floor(F.col("q") * (F.col("n") - 1) + 1e-9)
+    return counts.withColumn("upto", upto).where((F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)).select("label", *day, "q", "value")
+
+
 def within_bounds(readings: DataFrame, sensors: DataFrame, found: DataFrame, quantiles: list[float] = QUANTILES) -> DataFrame:
     """(label, [day,] n, bounded): whether every percentile's rank is within RANK_ERROR of n and one of the exact one, up to its cell.
 

@@ -86,6 +86,21 @@ def p6_daily_counted(spark, d):
     return quantiles.within_bounds(readings, sensors, materialize(quantiles.percentiles(readings, sensors))).withColumn("day", F.col("day").cast("string"))
 
 
+def p6_exact(spark, d):
+    """The exact percentiles of each label, for which the sketches' stated error is the bracket."""
+    return quantiles.exact_percentiles(read_table(spark, d, "readings"), read_table(spark, d, "sensors"))
+
+
+def p6_corrected(spark, d):
+    """The same once readings beyond their sensor's limits are deleted from the sketches: counted against the readings left."""
+    readings, sensors = read_table(spark, d, "readings"), read_table(spark, d, "sensors")
+    limits = sensors.select(F.col("var_no"), "phys_lo", "phys_hi")
+    marked = readings.join(F.broadcast(limits), "var_no")  # 28 rows by definition
+    gone, left = marked.where("item < phys_lo or item > phys_hi"), marked.where("item between phys_lo and phys_hi")
+    found = materialize(quantiles.answers(quantiles.merge(quantiles.without(quantiles.daily_sketches(readings, sensors), gone, sensors), ["var_no"]), sensors, quantiles.QUANTILES, ["var_no"]))
+    return quantiles.within_bounds(left, sensors, found)
+
+
 def p7_found(spark, d):
     """Pairs of records whose runs of three values share at least 0.6 of their union."""
     return neardup.similar_pairs(read_table(spark, d, "series_lines"))
@@ -96,7 +111,7 @@ def p7_groups(spark, d):
     return neardup.similar_groups(read_table(spark, d, "series_lines")).select("rec_id", "group_id", "n_links")
 
 
-_OWN = (p1_found, p1_group_sizes, p4_found, p4_clusters, p5_found, p5_neighbours, p6_daily_percentiles, p6_percentiles, p6_counted, p6_daily_counted, p7_found, p7_groups)
+_OWN = (p1_found, p1_group_sizes, p4_found, p4_clusters, p5_found, p5_neighbours, p6_daily_percentiles, p6_percentiles, p6_counted, p6_daily_counted, p6_exact, p6_corrected, p7_found, p7_groups)
 QUERIES = {f.__name__: f for f in _OWN}
 SQL = {
     "p1_found": _GROUPS + "select item, group_item from g",
@@ -106,6 +121,8 @@ SQL = {
     "p5_neighbours": _NEAREST + "select a item, b neighbour, r rank from n where r <= 5",
     "p6_counted": _COUNTED + "select label, count(*) n, true bounded from d join sensors using (var_no) group by 1",
     "p6_daily_counted": _COUNTED + "select label, strftime(ts, '%Y-%m-%d') as day, count(*) n, true bounded from d join sensors using (var_no) group by 1, 2",
+    "p6_exact": _COUNTED + "select label, unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double q, unnest(list_transform([0.05, 0.25, 0.5, 0.75, 0.95], lambda q: x[cast(floor(q * (len(x) - 1) + 1e-9) as bigint) + 1])) as value from (select label, list_sort(list(item)) x from d join sensors using (var_no) group by label)",
+    "p6_corrected": _COUNTED + "select label, count(*) n, true bounded from d join sensors using (var_no) where item between phys_lo and phys_hi group by 1",
     "p7_found": _SIMILAR + "select a rec_a, b rec_b from s",
     "p7_groups": _SIMILAR.replace("with v", "with recursive v", 1) + """, e as (select a, b from s union select b, a from s),
 r(rec_id, root) as (select rec_id, rec_id from n union select e.b, r.root from r join e on e.a = r.rec_id where r.root < e.b)

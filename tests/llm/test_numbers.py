@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ def test_percentile_edges(spark):
     got = {r.label: r for r in quantiles.percentiles(df, sensors).collect()}
     assert set(got) == {"A", "B"} and got["A"].n == 200 and got["B"].n == 2
     assert abs(got["A"].p50 - 4.5) <= 0.6 and abs(got["B"].p95 - 10.5) < 1 or got["B"].p05 < 0
-    parts = quantiles.answers(quantiles.merge(quantiles.daily_sketches(df, sensors, hot_rows=20), ["var_no", "day"]), sensors, quantiles.QUANTILES, ["var_no", "day"])
+    parts = quantiles.answers(quantiles.merge(quantiles.daily_sketches(df, sensors), ["var_no", "day"]), sensors, quantiles.QUANTILES, ["var_no", "day"])
     assert {r.label: (r.n, r.p50) for r in parts.collect()} == {k: (r.n, r.p50) for k, r in got.items()}
     assert quantiles.percentiles(df.limit(0), sensors).count() == 0 and quantiles.percentiles(df, sensors.limit(0)).count() == 0
 
@@ -84,7 +85,7 @@ def test_codes_beyond_the_range():
     assert all((a == b).all() for a, b in zip(quantiles.tails_from_bytes(quantiles.tails_to_bytes(full)), full))
 
 
-def test_percentiles_beyond_the_range(spark):
+def test_percentiles_beyond_the_range(spark, monkeypatch):
     """Days with a tenth of the readings far out on either side, and wholly out; the check counts readings as they are."""
     sensors = spark.createDataFrame(SENSORS, "var_no int, label string, phys_lo double, phys_hi double")
     r = np.random.default_rng(3)
@@ -92,8 +93,9 @@ def test_percentiles_beyond_the_range(spark):
     x[0][:40], x[0][40:80] = r.uniform(-1700, -1600, 40), r.uniform(4200, 4300, 40)
     rows = [(1000 * k + i, 1, T0 + dt.timedelta(days=k), float(z)) for k, day in enumerate(x) for i, z in enumerate(day)]
     df = readings(spark, rows)
-    for hot in (20, 10**6):
-        found = quantiles.answers(quantiles.merge(quantiles.daily_sketches(df, sensors, hot_rows=hot), ["var_no", "day"]), sensors, quantiles.QUANTILES, ["var_no", "day"])
+    for rows in (50, 10**6):
+        monkeypatch.setattr(quantiles, "SLICE_ROWS", rows)
+        found = quantiles.answers(quantiles.merge(quantiles.daily_sketches(df, sensors), ["var_no", "day"]), sensors, quantiles.QUANTILES, ["var_no", "day"])
         got = {row.day: row for row in found.collect()}
         for k, day in enumerate(x):
             one, v = got[(T0 + dt.timedelta(days=k)).date()], np.sort(day)
@@ -106,6 +108,36 @@ def test_percentiles_beyond_the_range(spark):
     assert not any(row.bounded for row in quantiles.within_bounds(df, sensors, ends).where("label = 'A' and day in ('2012-01-01', '2012-01-03')").collect())
 
 
+def test_many_sparse_keys_take_bounded_memory():
+    """20,000 sensor days of one reading each: sketches are held a few hundred at a time."""
+    n = 20_000
+    cols = [np.arange(n, dtype=np.int32) % 28, (np.arange(n) // 28).astype("datetime64[D]"), np.linspace(0, 900, n), np.ones(n), np.zeros(n), np.full(n, 950.0)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list("vdxwlh"))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in quantiles._partials(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and most < 500e6
+
+
+def test_exact_and_corrected_percentiles(spark):
+    """Brackets from the sketches hold the exact values; deleted readings leave the sketch of the rest; repeats count once."""
+    sensors = spark.createDataFrame(SENSORS, "var_no int, label string, phys_lo double, phys_hi double")
+    r = np.random.default_rng(8)
+    x = np.concatenate((np.round(r.normal(5, 2, 4000), 2), r.uniform(50, 90, 600)))
+    rows = [(i, 1, T0 + dt.timedelta(days=i % 3), float(z)) for i, z in enumerate(x)]
+    df = readings(spark, rows + rows[::5] + rows[::50])
+    got = {z.q: z.value for z in quantiles.exact_percentiles(df, sensors).collect()}
+    v = np.sort(x)
+    assert got == {q: v[int(q * (len(v) - 1) + 1e-9)] for q in quantiles.QUANTILES}
+    days = {(z.day, z.q): z.value for z in quantiles.exact_percentiles(df, sensors, per_day=True).collect()}
+    one = np.sort(x[1::3])
+    assert days[(T0 + dt.timedelta(days=1)).date(), 0.5] == one[int(0.5 * (len(one) - 1))] and len(days) == 15
+    left = quantiles.merge(quantiles.without(quantiles.daily_sketches(df, sensors), df.where("item > 40"), sensors), ["var_no"]).first()
+    want = quantiles.merge(quantiles.daily_sketches(df.where("item <= 40"), sensors), ["var_no"]).first()
+    assert left.n == want.n == 4000 and (quantiles.from_bytes(left.sketch) == quantiles.from_bytes(want.sketch)).all() and left.tails == want.tails
+
+
 # near-duplicates
 def text_records(seed=1, n=60):
     r = random.Random(seed)
