@@ -87,12 +87,14 @@ def build(code: np.ndarray, group: np.ndarray, n_groups: int, weight: np.ndarray
     w = np.ones(len(code)) if weight is None else weight.astype(float)
     inside = (code >= 0) & (code < 1 << BITS)
     code, group, w = code[inside], group[inside], w[inside]
-    flat = np.bincount(group * CELLS + (code >> LEVELS), w, minlength=n_groups * CELLS)
+    spots, weights = [group * CELLS + (code >> LEVELS)], [w]
     for level in range(LEVELS):
         prefix = code >> (LEVELS - 1 - level)
         for row in range(ROWS):
             at, sign = _place(prefix, level, row)
-            flat += np.bincount(group * CELLS + at, w * sign, minlength=n_groups * CELLS)
+            spots.append(group * CELLS + at)
+            weights.append(w * sign)
+    flat = np.bincount(np.concatenate(spots), np.concatenate(weights), minlength=n_groups * CELLS)
     return np.rint(flat).astype(np.int64).reshape(n_groups, CELLS)
 
 
