@@ -1,8 +1,13 @@
-"""Consolidating pairwise matches into groups: connected components by alternating large-star and small-star rewrites."""
+"""Consolidating pairwise matches into groups: connected components by alternating large-star and small-star rewrites.
+
+A rewrite is one shuffle: edges are brought together by item and sorted by neighbour, so that the first neighbour is the
+least and repeated edges stand side by side. A round, one of each, is one job and one written table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.session import materialize, release
@@ -12,22 +17,27 @@ HOT_EDGES = 2_000_000
 MAX_ROUNDS = 60
 
 
-def _hop(edges: DataFrame, least_self: bool, total: int, hot_edges: int) -> DataFrame:
-    """(u, v, m): each edge with the least neighbour m of u, with u itself counted when least_self.
+def _nearest(edges: DataFrame, least_self: bool, total: int, hot_edges: int) -> DataFrame:
+    """(u, v, m): each distinct edge with the least neighbour m of u, with u itself counted when least_self.
 
-    The least neighbour is a map-side combined aggregate. It goes back to the edges by a join in which hot items are
-    salted by their neighbour: fewer than 2,000 items can be hot, since each owns over a thousandth of the edges, so
-    that list is safe to broadcast whatever the size of the data.
+    An item that owns over a thousandth of the edges (and more than hot_edges) is kept out of the sort: fewer than 2,000
+    items can, so that list is safe to broadcast whatever the size of the data.
     """
-    least = F.least("u", F.min("v")) if least_self else F.min("v")
-    mins = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("deg"))
+    own: list[Column] = [F.col("u")] if least_self else []
+    by = W.partitionBy("u").orderBy("v")
+    last = F.lag("v").over(by)
+
+    def sorted_(e: DataFrame) -> DataFrame:
+        first = F.first("v").over(by)
+        return e.select("u", "v", (F.least(*own, first) if own else first).alias("m"), last.alias("last")).where("last is null or last <> v").drop("last")
+
     bar = max(hot_edges, total // 1000)
     if total <= bar:
-        return edges.join(mins.drop("deg"), "u")
-    hot = F.broadcast(mins.where(F.col("deg") > bar).select("u", F.ceil(F.col("deg") / bar).cast("int").alias("parts")))
-    salted = edges.join(hot, "u", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")))
-    spread = mins.withColumn("salt", F.explode(F.when(F.col("deg") > bar, F.sequence(F.lit(0), F.ceil(F.col("deg") / bar).cast("int") - 1)).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread.select("u", "salt", "m"), ["u", "salt"]).select("u", "v", "m")
+        return sorted_(edges)
+    mins = edges.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("deg")).where(F.col("deg") > bar)
+    hot = F.broadcast(materialize(mins.select("u", (F.least(*own, "least") if own else F.col("least")).alias("m"))))
+    # a hot item's least neighbour goes along with the broadcast list; its repeated edges are dropped by item and neighbour
+    return sorted_(edges.join(hot, "u", "left_anti")).union(edges.join(hot, "u").select("u", "v", "m").distinct())
 
 
 def _either(a: tuple, b: tuple):
@@ -36,38 +46,37 @@ def _either(a: tuple, b: tuple):
     return F.inline(F.array(row(a), row(b)))
 
 
-def large_star(edges: DataFrame, total: int, hot_edges: int) -> DataFrame:
-    """Link every larger neighbour of an item to the least of the item and its neighbours."""
+def large_star(edges: DataFrame, total: int, hot_edges: int = HOT_EDGES) -> DataFrame:
+    """(u, v, moved): every larger neighbour of an item linked to the least of the item and its neighbours; moved tells new links."""
     both = edges.select(_either(("u", "v"), ("v", "u")))
-    return _hop(both, True, 2 * total, hot_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _nearest(both, True, 2 * total, hot_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"), (F.col("m") != F.col("u")).alias("moved"))
 
 
-def small_star(edges: DataFrame, total: int, hot_edges: int) -> DataFrame:
-    """Link an item and its smaller neighbours to the least of them; edges have u > v."""
-    return _hop(edges, False, total, hot_edges).select(_either(("v", "m"), ("u", "m"))).where("u <> v").distinct()
+def small_star(edges: DataFrame, total: int, hot_edges: int = HOT_EDGES) -> DataFrame:
+    """(u, v, moved): an item and its smaller neighbours linked to the least of them; edges have u > v."""
+    near = _nearest(edges, False, total, hot_edges).withColumn("moved", F.col("v") != F.col("m"))
+    row = lambda x: F.struct(F.col(x).alias("u"), F.col("m").alias("v"), "moved")
+    # the item's own link once, from its first edge, and one for each other neighbour
+    return near.select(F.inline(F.array(F.when(F.col("moved"), row("v")).otherwise(row("u")))))
 
 
-def _write(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The edges written to the shared folder, with their number and a sum of their hashes, taken while writing."""
-    seen = Observation()
-    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
-    return table, (seen.get["n"], int(seen.get["h"] or 0))
+def star_labels(edges: DataFrame, hot_edges: int = HOT_EDGES, total: int | None = None) -> DataFrame:
+    """(u, v): each item that is not its component's least, with that least item. edges: (u, v) with u > v; repeats are allowed.
 
-
-def star_labels(edges: DataFrame, hot_edges: int = HOT_EDGES) -> DataFrame:
-    """(u, v): each item that is not its component's least, with that least item. edges: (u, v) with u > v, distinct.
-
-    Every rewrite is written to the shared folder: lineage stays short and a lost executor costs one rewrite at most.
+    Every round is written to the shared folder: lineage stays short and a lost executor costs one round at most. total:
+    an upper bound of the number of edges, if known.
     """
-    now, state = _write(edges)
-    for _ in range(MAX_ROUNDS):
-        if not state[0]:
-            return now
-        wide, (n, _) = _write(large_star(now, state[0], hot_edges))
-        after, new = _write(small_star(wide, n, hot_edges))
-        release(now, wide)
-        now, before, state = after, state, new
-        if state == before:
+    n = edges.count() if total is None else total
+    now = edges
+    for k in range(MAX_ROUNDS):
+        if not n:
+            return materialize(now) if not k else now
+        large, small = Observation(), Observation()
+        wide = large_star(now, n, hot_edges).observe(large, F.sum(F.col("moved").cast("long")).alias("moved"))
+        after = materialize(small_star(wide.select("u", "v"), n, hot_edges).observe(small, F.sum(F.col("moved").cast("long")).alias("moved")).select("u", "v"))
+        release(now)
+        now, n = after, after.__dict__["_skein_rows"]
+        if not (large.get["moved"] or 0) and not (small.get["moved"] or 0):
             return now
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
@@ -81,6 +90,6 @@ def group_items(pairs: DataFrame, a: str = "ind1", b: str = "ind2", hot_edges: i
     """
     p = pairs.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
     items = p.select(F.explode(F.array("a", "b")).alias("item")).where("item is not null").distinct()
-    edges = p.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = p.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     labels = star_labels(edges, hot_edges)
     return items.join(labels.select(F.col("u").alias("item"), F.col("v").alias("root")), "item", "left").select("item", F.coalesce("root", "item").alias("group_item"))
