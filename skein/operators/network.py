@@ -45,14 +45,18 @@ def verify(pairs: DataFrame, encoded: DataFrame, measure, enc: str = "enc", keep
 
 
 def matrix(sims: DataFrame, items: DataFrame) -> DataFrame:
-    """(i, j, value): the cells i <= j of the matrix of the given items; diagonal 1, null where a pair was not compared.
+    """(i, j, kind, value): the cells i <= j of the matrix of the given items; diagonal 1, null where a pair was not compared.
+
+    kind is self, compared or not compared, so that a compared pair of distance or similarity 0 is told from no comparison.
 
     items is a bounded set (the variables of one flight), whose square is the size of the result by definition.
     """
     one = items.select(F.col("item").alias("i"))
     cells = one.join(items.select(F.col("item").alias("j")), F.col("i") <= F.col("j"))
     known = sims.select(F.col("id1").alias("i"), F.col("id2").alias("j"), F.col("sim"))
-    return cells.join(known, ["i", "j"], "left").select("i", "j", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("sim")).alias("value"))
+    self_ = F.col("i") == F.col("j")
+    kind = F.when(self_, "self").when(F.col("sim").isNull(), "not compared").otherwise("compared")
+    return cells.join(known, ["i", "j"], "left").select("i", "j", kind.alias("kind"), F.when(self_, 1.0).otherwise(F.col("sim")).alias("value"))
 
 
 def normalized(sims: DataFrame) -> DataFrame:
@@ -79,6 +83,15 @@ def parse_report(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).startswith("sim")).select(at(1, "long").alias("id1"), at(2, "long").alias("id2"), at(3, "double").alias("sim")).where("id1 is not null and id2 is not null and sim is not null")
 
 
+def parse_buckets(lines: DataFrame, line: str = "line") -> DataFrame:
+    """(table_id, code, item) of the bucket lines of a report, one row per member; other lines, and words that are no number, are passed over."""
+    p = F.split(F.trim(F.col(line)), r"\s+")
+    at = lambda k, t: F.get(p, F.lit(k)).try_cast(t)
+    members = F.transform(F.slice(p, F.lit(4), F.greatest(F.size(p) - 3, F.lit(0))), lambda w: w.try_cast("long"))
+    rows = lines.where(F.col(line).startswith("bucket")).select(at(1, "int").alias("table_id"), at(2, "long").alias("code"), F.explode(members).alias("item"))
+    return rows.where("table_id is not null and code is not null and item is not null")
+
+
 def deduplicate(sims: DataFrame) -> DataFrame:
     """(id1, id2, sim): one row per unordered pair of different items; repeated pairs carry one value, of which the largest is kept."""
     return sims.where("id1 <> id2").groupBy(F.least("id1", "id2").alias("id1"), F.greatest("id1", "id2").alias("id2")).agg(F.max("sim").alias("sim"))

@@ -14,16 +14,15 @@ from skein.functions import encode, hashing, similarity
 from skein.operators import network, stats
 from skein.operators.network import as_text
 from skein.plans.sweep import codes_of, encoded, measure_of, network_of
-from skein.session import materialize, read_table, shared_dir
+from skein.session import app_dir, materialize, read_table
 from skein.sources import series as src
 from skein.streaming.pairs import pairs_available_now
 
-CLIP = ClipConfig(elements=64, threshold=0.0, offsets=[0, 9, 19, 31, 46], code_len=10, growth=0.1)
+CLIP = ClipConfig(elements=64, threshold=0.0, offsets=[0, 9, 19, 31, 46], code_len=5, growth=0.1)
 SAX = SaxConfig(elements=40, mean=49.63, sd=49.10, segment=4, alphabet=5, offsets=[0, 3, 6], code_len=4)
 _PROJ = [((37 * j + 11) % 101) / 101.0 - 0.5 for j in range(8)]
-# eight bits make 256 shingles, so that unlike series seldom share a code and buckets stay small
-_DRAWS = [[256 * (((7919 * i + 104729 * j + 13) % 10007) / 10007.0) for j in range(128)] for i in range(5)]
-SHINGLE = ShingleConfig(elements=64, projection=_PROJ, stride=2, shingle_bits=8, shingle_stride=1, draws=_DRAWS)
+_DRAWS = [[16 * (((7919 * i + 104729 * j + 13) % 10007) / 10007.0) for j in range(8)] for i in range(5)]
+SHINGLE = ShingleConfig(elements=64, projection=_PROJ, stride=2, shingle_bits=4, shingle_stride=1, draws=_DRAWS)
 
 
 # sources and statistics
@@ -237,7 +236,7 @@ def similarity_matrix(spark, d):
     """The 28 sensors' matrix: the largest similarity reported for each pair of sensors in any one flight."""
     best = network.deduplicate(_reported(spark, d).select("id1", "id2", "sim"))
     items = read_table(spark, d, "sensors").select(F.col("var_no").cast("long").alias("item"))
-    return network.matrix(best, items).select("i", "j", F.round("value", 6).alias("value"))
+    return network.matrix(best, items).select("i", "j", "kind", F.round("value", 6).alias("value"))
 
 
 def similarity_normalized(spark, d):
@@ -257,9 +256,17 @@ def report_parse(spark, d):
     return network.parse_report(lines).select("id1", "id2", F.round("sim", 6).alias("sim"))
 
 
+def report_buckets(spark, d):
+    """The pairs that the bucket lines of a report imply, read back from its text."""
+    codes = _sax_codes(spark, d)
+    nothing = codes.select(F.col("item").alias("id1"), F.col("item").alias("id2"), F.lit(0.0).alias("sim")).limit(0)
+    lines = network.report_lines(nothing, network.buckets(codes), SAX.code_len).select("line")
+    return network.candidate_pairs(network.parse_buckets(lines))
+
+
 def stream_candidate_pairs(spark, d):
     """The candidate pairs of the binary codes, met one by one in a stream."""
-    base = f"{shared_dir(spark)}/skein-stream-{uuid.uuid4().hex}"
+    base = f"{app_dir(spark)}/stream-{uuid.uuid4().hex}"
     codes = _clip_codes(spark, d)
     codes.write.parquet(f"{base}/codes")
     stream = spark.readStream.schema(codes.schema).parquet(f"{base}/codes")
@@ -273,7 +280,7 @@ QUERIES = {
         abc_encode, abc_codes, abc_buckets, abc_candidate_pairs, pair_collision_count, pair_dedup, abc_similarity,
         sax_paa, sax_encode, sax_distance_table, sax_codes, sax_buckets, sax_candidate_pairs, sax_mindist, similarity_network_sax,
         projection_dot, ssh_sketch, ssh_shingle, ssh_minhash_codes, ssh_buckets, ssh_candidate_pairs, ssh_jaccard, similarity_network_ssh,
-        similarity_matrix, similarity_normalized, report_lines, report_parse, stream_candidate_pairs,
+        similarity_matrix, similarity_normalized, report_lines, report_parse, report_buckets, stream_candidate_pairs,
     )
 }
 
@@ -383,10 +390,11 @@ SQL = {
     "similarity_network_ssh": _SSH_SIM + "select id1, id2, n_tables, round(sim, 6) sim from sims",
     "similarity_matrix": _SP
     + ", q as (select (id1 - 1) % 28 + 1 a, (id2 - 1) % 28 + 1 b, sim from p where (id1 - 1) // 28 = (id2 - 1) // 28 and sim is not null), m as (select least(a, b) i, greatest(a, b) j, max(sim) s from q where a <> b group by 1, 2) "
-    "select x.var_no::bigint i, y.var_no::bigint j, case when x.var_no = y.var_no then 1.0::double else round(s, 6) end as value from sensors x join sensors y on x.var_no <= y.var_no left join m on m.i = x.var_no and m.j = y.var_no",
+    "select x.var_no::bigint i, y.var_no::bigint j, case when x.var_no = y.var_no then 'self' when s is null then 'not compared' else 'compared' end kind, case when x.var_no = y.var_no then 1.0::double else round(s, 6) end as value from sensors x join sensors y on x.var_no <= y.var_no left join m on m.i = x.var_no and m.j = y.var_no",
     "similarity_normalized": _CLIP_SIM + "select id1, id2, round(sim / (greatest((select max(sim) from sims), 1) + 0.001), 6) as value from sims",
     "report_lines": _SAX_SIM
     + f"select 0 kind, 'hash code size is {SAX.code_len}' line union all select 1, format('sim {{}} {{}} {{:.6f}}', id1, id2, sim) from sims union all select 2, 'bucket ' || table_id || ' ' || code || ' ' || string_agg(item, ' ' order by item) from codes group by table_id, code",
     "report_parse": "select ind1 id1, ind2 id2, round(sim, 6) sim from sim_pairs where ind1 is not null and ind2 is not null and sim is not null",
+    "report_buckets": _SAX_SQL + _PAIRS,
     "stream_candidate_pairs": _CLIP_SQL + _PAIRS,
 }

@@ -27,10 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def app_dir(spark: SparkSession) -> str:
+    """This application's own subfolder, which clean() deletes."""
+    return f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{app_dir(spark)}/{uuid.uuid4().hex}"
     rows = Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
@@ -56,7 +61,7 @@ def release(*tables: DataFrame) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Delete everything that this application has materialized; no result that is still lazy may be read afterwards."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/skein-{spark.sparkContext.applicationId}")
+    p = spark._jvm.org.apache.hadoop.fs.Path(app_dir(spark))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 

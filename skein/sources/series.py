@@ -28,12 +28,18 @@ def parse_series(lines: DataFrame, id_col: str, text_col: str, start: int = 0, e
 
 
 def read_series_text(spark: SparkSession, path: str, start: int = 0, elements: int | None = None) -> DataFrame:
-    """(item, vals) of one text file, whose lines are numbered from 1 in file order.
+    """(file, item, vals) of text files, whose lines are numbered from 1 in the order of their file.
 
-    A file has no row ids, so its lines are numbered as one piece; collections should carry ids and use parse_series().
+    Files are read in splits. A line's number is its place in its split plus the lines of the splits before it, of which
+    one row per split is counted; no file has to be read as one piece.
     """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("at", "line"))
-    return parse_series(rows.select((F.col("at") + 1).alias("item"), "line"), "item", "line", start, elements)
+    at = F.monotonically_increasing_id()  # ascending within a split, in the order of its lines
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), at.alias("at"), "value")
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = rows.join(splits.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    key = F.struct("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("item"))
+    return parse_series(numbered.select(key.alias("key"), "value"), "key", "value", start, elements).select("item.file", "item.item", "vals")
 
 
 def read_flights(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Pairs that are put together at once.
+PAIRS = 1_000_000
+
+
 class PairEmitter(StatefulProcessor):
     """Keeps the members of one (table_id, code) bucket; each arrival is paired with all earlier members."""
 
@@ -19,20 +24,21 @@ class PairEmitter(StatefulProcessor):
         self.members = handle.getListState("members", "item long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [int(m[0]) for m in self.members.get()] if self.members.exists() else []
-        known = set(held)
+        held = np.fromiter((m[0] for m in self.members.get()), np.int64) if self.members.exists() else np.zeros(0, np.int64)
         for pdf in rows:
-            fresh = []
-            for item in sorted(pdf["item"].tolist()):
-                if item in known:
-                    continue
-                if held:
-                    yield pd.DataFrame({"table_id": key[0], "code": key[1], "id1": [min(item, m) for m in held], "id2": [max(item, m) for m in held]})
-                held.append(item)
-                known.add(item)
-                fresh.append((item,))
-            if fresh:
-                self.members.appendList(fresh)
+            fresh = np.setdiff1d(pdf["item"].dropna().to_numpy().astype(np.int64), held)
+            # each arrival meets all earlier members, a bounded number of pairs at a time
+            step = max(1, PAIRS // max(1, len(held) + len(fresh)))
+            for i in range(0, len(fresh), step):
+                new = fresh[i : i + step]
+                a, b = np.repeat(new, len(held)), np.tile(held, len(new))
+                j, k = np.triu_indices(len(new), 1)
+                a, b = np.concatenate((a, new[j])), np.concatenate((b, new[k]))
+                if len(a):
+                    yield pd.DataFrame({"table_id": key[0], "code": key[1], "id1": np.minimum(a, b), "id2": np.maximum(a, b)})
+                held = np.concatenate((held, new))
+            if len(fresh):
+                self.members.appendList([(int(x),) for x in fresh])
 
     def close(self) -> None:
         pass

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 
 from skein.config import BREAKPOINTS, ClipConfig, SaxConfig, ShingleConfig
@@ -8,6 +9,7 @@ from skein.functions import batched, encode, families, hashing, similarity
 from skein.operators import network, stats
 from skein.sources import series as src
 from skein.sources import sinks
+from skein.streaming import pairs
 
 TOY = ["1.1 2.2 -3.3 -4.4 -5.5 -6.6 -7.7 8.88 9.0 10", "-1.1 -2.2 -3.3 -4.4 5.5 6.6 7.7 8.88 9.0 10", "1.1 2.2 -3.3 -4.4 -5.5 -6.6 -7.7 8.88 9.0 10"]
 
@@ -124,12 +126,23 @@ def test_series_lines(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text("\n".join(TOY) + "\n")
     assert [r.item for r in src.read_series_text(spark, str(tmp_path / "t.txt")).orderBy("item").collect()] == [1, 2, 3]
+    (tmp_path / "u.txt").write_text("".join(f"{i} {i + 1}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # many splits of a file
+    try:
+        many = src.read_series_text(spark, str(tmp_path / "?.txt")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {(r.file.rsplit("/", 1)[1], r.item): r.vals for r in many}
+    assert len(many) == len(got) == 3003 and {i for f, i in got if f == "t.txt"} == {1, 2, 3}
+    assert all(got["u.txt", i + 1] == [float(i), float(i + 1)] for i in range(3000))
     (tmp_path / "f1.evt").write_text("TS,A,B\n1,2,3\n2,4,6\n")
     wide = src.read_flights(spark, str(tmp_path / "*.evt"), ["TS", "A", "B"])
     long = stats.unpivot(wide, ["flight", "TS"], ["A", "B"]).withColumnRenamed("TS", "ts")
     assert {(r.flight, r.variable): r.vals for r in stats.transpose(long, ["ts"]).collect()} == {("f1.evt", "A"): [2.0, 4.0], ("f1.evt", "B"): [3.0, 6.0]}
     sinks.write_series(stats.transpose(long, ["ts"]), str(tmp_path / "out"), "raw")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    sinks.write_variables(long, str(tmp_path / "vars"))
+    assert {(r.variable, r.value) for r in spark.read.parquet(str(tmp_path / "vars")).collect()} == {("A", 2.0), ("A", 4.0), ("B", 3.0), ("B", 6.0)}
     sinks.write_series_text(stats.transpose(long, ["ts"]), str(tmp_path / "txt"))
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "txt")).collect()) == ["2.0 4.0", "3.0 6.0"]
     codes = spark.createDataFrame([(1, 1, 5), (2, 1, 5)], "item long, table_id int, code long")
@@ -152,6 +165,10 @@ def test_reported_golden_pairs_stay_within_buckets(spark):
     """The pairs of a report are among all pairs of the buckets it lists."""
     lines = ["hash code size is 3", "bucket 3 10 1 3", "bucket 1 100 1 3", "bucket 2 0 1 3", "bucket 3 0 2", "sim 1 3 7.715611", "sim 1 3 7.715611", "sim 1 3 7.715611"]
     sims = network.parse_report(spark.createDataFrame([(x,) for x in lines], "line string"))
+    held = network.parse_buckets(spark.createDataFrame([(x,) for x in [*lines, "bucket 1 x 9", "bucket"]], "line string"))
+    assert sorted(map(tuple, held.collect())) == [(1, 100, 1), (1, 100, 3), (2, 0, 1), (2, 0, 3), (3, 0, 2), (3, 10, 1), (3, 10, 3)]
+    implied = {(r.id1, r.id2): r.n_tables for r in network.collision_counts(network.candidate_pairs(held)).collect()}
+    assert implied == {(1, 3): 3} and {(r.id1, r.id2) for r in sims.collect()} <= set(implied)
     assert sims.count() == 3 and [tuple(r) for r in network.deduplicate(sims).collect()] == [(1, 3, 7.715611)]
 
 
@@ -161,3 +178,43 @@ def test_sweep(spark, toy):
     configs = [ClipConfig(6, 2.0, [0, 1, 3], 3, 0.1), SaxConfig(9, 4.5, 0.1, 2, 3, [0, 1, 2], 2), ShingleConfig(9, families.projection(3, 1), 1, 2, 1, families.draws(5, 2, 1))]
     got = sweep(spark, toy, configs).orderBy("trial").collect()
     assert [(r.method, r.n_pairs) for r in got[:2]] == [("clip", 1), ("sax", 3)] and got[2].method == "shingle"
+
+
+class FakeState:
+    """List state that lets members go after its time to live, counted in calls."""
+
+    def __init__(self, ttl):
+        self.ttl, self.now, self.rows = ttl, 0, []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return iter([r for r, t in self.rows if self.ttl is None or self.now - t < self.ttl])
+
+    def appendList(self, rows):
+        self.rows += [(r, self.now) for r in rows]
+
+
+@pytest.mark.parametrize("ttl", [None, 1])
+@pytest.mark.parametrize("most", [1, 10**6])
+def test_stream_state(monkeypatch, ttl, most):
+    """Pairs over several batches with repeats, nulls and small chunks; with an expiry early members are let go."""
+    monkeypatch.setattr(pairs, "PAIRS", most)
+    states = []
+
+    class Handle:
+        def getListState(self, name, schema, ttl_ms):
+            states.append(FakeState(ttl_ms))
+            return states[-1]
+
+    p = pairs.PairEmitter(ttl)
+    p.init(Handle())
+    out = []
+    for batch in ([[3, 1, 3, None]], [[2, 1], [5]]):
+        got = [tuple(r) for f in p.handleInputRows((1, 7), (pd.DataFrame({"item": x}) for x in batch), None) for r in f.itertuples(index=False)]
+        assert len(got) == len(set(got)) and all(x[:2] == (1, 7) for x in got)
+        out.append({(a, b) for _, _, a, b in got})
+        states[0].now += 1
+    assert out[0] == {(1, 3)}
+    assert out[1] == ({(1, 2), (2, 3), (1, 5), (3, 5), (2, 5)} if ttl is None else {(1, 2), (1, 5), (2, 5)})
