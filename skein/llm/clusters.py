@@ -258,14 +258,18 @@ def forest_of(table: DataFrame, id_col: str, vec_col: str, dim: int, min_points:
     graph = materialize(neighbour_edges(vecs, dim, nearest=min_points - 1, **how))
     if min_points <= 2:
         # the core distance is that of the nearest neighbour, which no edge of a record can undercut
-        return members, vecs, materialize(boruvka(graph))
+        tree = materialize(boruvka(graph))
+        release(all_, classes, graph)
+        return members, vecs, tree
     both = graph.select(F.inline(F.array(F.struct("u", "w"), F.struct(F.col("v").alias("u"), "w"))))
     rank = F.row_number().over(W.partitionBy("u").orderBy("w"))
     kept = both.withColumn("r", rank).where(F.col("r") <= min_points - 1)
     # a record with fewer neighbours than that has no core: the floor stands for it
     core = materialize(kept.groupBy("u").agg(F.when(F.count("*") == min_points - 1, F.max("w")).otherwise(1 - how.get("floor", FLOOR)).alias("core")))
     edges = graph.join(core, "u").join(core.select(F.col("u").alias("v"), F.col("core").alias("core_v")), "v")
-    return members, vecs, materialize(boruvka(edges.select("u", "v", F.greatest("w", "core", "core_v").alias("w"))))
+    tree = materialize(boruvka(edges.select("u", "v", F.greatest("w", "core", "core_v").alias("w"))))
+    release(all_, classes, graph, core)
+    return members, vecs, tree
 
 
 def density_clusters(table: DataFrame, id_col: str = "mat_id", vec_col: str = "mat", dim: int = 378, min_cluster: int = MIN_CLUSTER, min_points: int = MIN_POINTS, exemplars: int = 3, **how) -> DataFrame:
@@ -309,7 +313,8 @@ def alike_sets(table: DataFrame, similarity: float = 0.85, id_col: str = "mat_id
 
     Two records are alike if the cosine of their vectors is at least `similarity`. The sets are the trees of the
     spanning forest cut at that similarity, for which every pair of records is compared, so that no link outside is missed; in each, all members are then compared: a set whose members all lie within
-    half the angle of their mean is settled at once, any other is compared in blocks, in double precision. Nulls, all-zero and unusable
+    half the angle of their mean is settled at once; of any other the member farthest from the mean is compared with all, and
+    only if it is like all of them the set is compared in blocks, in double precision. Nulls, all-zero and unusable
     vectors take no part; an id counts once. An empty table gives no rows.
     """
     # with two points mutual reachability is the distance itself, so the forest cut there has exactly the alike as trees
@@ -331,13 +336,20 @@ def alike_sets(table: DataFrame, similarity: float = 0.85, id_col: str = "mat_id
     def angle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v, s = (b.column(k).flatten().to_numpy().reshape(-1, dim) for k in (1, 2))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array((v * s).sum(1) / np.linalg.norm(s, axis=1))], ["c", "cos"])
+                v, s = (b.column(k).flatten().to_numpy().reshape(-1, dim) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((v * s).sum(1) / np.linalg.norm(s, axis=1))], ["id", "c", "cos"])
+
+    def nearness(to: DataFrame) -> DataFrame:
+        """The least cosine of each set's members to the set's vector s, and the member that has it."""
+        got = full.join(to, "c").select("id", "c", "v", "s").mapInArrow(angle, "id long, c long, cos double")
+        return got.groupBy("c").agg(F.min("cos").alias("cos"), F.min_by("id", "cos").alias("far"))
 
     half = float(np.cos(np.arccos(similarity) / 2))
-    least = full.join(centre, "c").select("c", "v", "s").mapInArrow(angle, "c long, cos double").groupBy("c").agg(F.min("cos").alias("cos"))
-    settled = materialize(least.withColumn("sure", F.col("cos") >= half + 1e-9))
-    doubt = full.select("id", "c", "v").join(settled.where("not sure").select("c"), "c", "left_semi")
+    settled = materialize(nearness(centre).withColumn("sure", F.col("cos") >= half + 1e-9))
+    # most sets that are not all alike end here: their member farthest from the mean is unlike some other
+    far = settled.where("not sure").select("c", F.col("far").alias("id")).join(vecs.select("id", F.col("v").alias("s")), "id").select("c", "s")
+    open_ = materialize(nearness(far).where(F.col("cos") >= similarity - 1e-9).select("c"))
+    doubt = full.select("id", "c", "v").join(open_, "c", "left_semi")
 
     def block(key, t):
         v = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.graph_index import SEARCH_BEAM, Graph
-from skein.session import lookup_join, materialize, row_count
+from skein.session import lookup_join, materialize, release, row_count
 
 #: Vectors of a shard; rows of the sample that centroids are fitted on, at least and at most; queries that one task puts to a shard.
 SHARD_ROWS, FIT_ROWS, MOST_FIT_ROWS, CHUNK_QUERIES = 8_000, 20_000, 100_000, 8_000
@@ -151,6 +151,7 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r[ok])), b.column(1).take(pa.array(r[ok])), pa.array(to[ok])], ["q", "v", "shard"])
 
     calls = materialize(sharded.join(reach, F.col("id") == F.col("q"), "left").select("id", "v", "cell", "shard", F.coalesce("u", F.lit(float("inf"))).alias("u")).mapInArrow(visits, "q long, v array<double>, shard long"))
+    calls_ = calls
     load = calls.groupBy("shard").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("chunks"))
     calls = lookup_join(calls, load, ["shard"]).withColumn("chunk", F.pmod(F.xxhash64("q"), F.col("chunks")).cast("int"))
     copies = index.join(load, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -162,6 +163,7 @@ def nearest(table: DataFrame, k: int = 5, id_col: str = "item", vec_col: str = "
 
     second = calls.select("shard", "chunk", "q", "v").groupBy("shard", "chunk").cogroup(copies.drop("chunks").groupBy("shard", "chunk")).applyInPandas(away, pair)
     by_class = materialize(first.union(second).withColumn("r", F.row_number().over(W.partitionBy("q").orderBy("d", "hit"))).where(F.col("r") <= k).select("q", "hit", "d"))
+    release(heads, placed, index, first, calls_)
     # from classes back to items
     member = items.select("k1", "k2", F.col("id").alias("item"))
     head = few.where("r = 1").select("k1", "k2", F.col("id").alias("head"))

@@ -54,6 +54,18 @@ def p4_clusters(spark, d):
     return clusters.density_clusters(read_table(spark, d, "matrices"))
 
 
+def p4_separated(spark, d):
+    """The alike sets of three or more as the density clusters see them: each member with its density cluster's least such member, and their number.
+
+    A set that the clusters split, merge with another or lose members of comes out otherwise than in p4_found.
+    """
+    table = read_table(spark, d, "matrices")
+    sets = clusters.alike_sets(table)
+    large = sets.groupBy("cluster_mat").agg(F.count("*").alias("k")).where(F.col("k") >= clusters.MIN_CLUSTER)
+    seen = materialize(clusters.density_clusters(table).join(sets.join(large, "cluster_mat"), "mat_id").select("mat_id", "cluster_id"))
+    return seen.join(seen.groupBy("cluster_id").agg(F.min("mat_id").alias("group_mat"), F.count("*").alias("n")), "cluster_id").select("mat_id", "group_mat", "n")
+
+
 def p5_found(spark, d):
     """Pairs of items of which one is among the 5 nearest of the other."""
     return neighbours.nearest_pairs(read_table(spark, d, "series"))
@@ -111,12 +123,13 @@ def p7_groups(spark, d):
     return neardup.similar_groups(read_table(spark, d, "series_lines")).select("rec_id", "group_id", "n_links")
 
 
-_OWN = (p1_found, p1_group_sizes, p4_found, p4_clusters, p5_found, p5_neighbours, p6_daily_percentiles, p6_percentiles, p6_counted, p6_daily_counted, p6_exact, p6_corrected, p7_found, p7_groups)
+_OWN = (p1_found, p1_group_sizes, p4_found, p4_clusters, p4_separated, p5_found, p5_neighbours, p6_daily_percentiles, p6_percentiles, p6_counted, p6_daily_counted, p6_exact, p6_corrected, p7_found, p7_groups)
 QUERIES = {f.__name__: f for f in _OWN}
 SQL = {
     "p1_found": _GROUPS + "select item, group_item from g",
     "p1_group_sizes": _GROUPS + "select size, count(*) n_groups from (select group_item, count(*) size from g group by 1) group by 1",
     "p4_found": _ALIKE,
+    "p4_separated": "with f as (" + _ALIKE + ") select mat_id, cluster_mat group_mat, n from (select *, count(*) over (partition by cluster_mat) n from f) where n >= 3",
     "p5_found": _NEAREST + "select distinct least(a, b) item_a, greatest(a, b) item_b from n where r <= 5",
     "p5_neighbours": _NEAREST + "select a item, b neighbour, r rank from n where r <= 5",
     "p6_counted": _COUNTED + "select label, count(*) n, true bounded from d join sensors using (var_no) group by 1",
