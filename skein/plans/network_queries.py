@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skein.config import BREAKPOINTS, ClipConfig, SaxConfig, ShingleConfig
-from skein.functions import encode, hashing, similarity
+from skein.functions import encode, families, hashing, similarity
 from skein.operators import network, stats
 from skein.operators.network import as_text
 from skein.plans.sweep import codes_of, encoded, measure_of, network_of
@@ -24,6 +24,10 @@ _PROJ = [((37 * j + 11) % 101) / 101.0 - 0.5 for j in range(8)]
 _DRAWS = [[16 * (((7919 * i + 104729 * j + 13) % 10007) / 10007.0) for j in range(8)] for i in range(5)]
 SHINGLE = ShingleConfig(elements=64, projection=_PROJ, stride=2, shingle_bits=4, shingle_stride=1, draws=_DRAWS)
 
+# the same encodings under hash families drawn from a seed
+SEEDED_CLIP = ClipConfig(elements=64, threshold=0.0, offsets=families.offsets(6, 64, 6, 20), code_len=6, growth=0.1)
+SEEDED_SHINGLE = ShingleConfig(elements=64, projection=families.projection(8, 20, "normal"), stride=2, shingle_bits=4, shingle_stride=1, draws=families.draws(4, 4, 20))
+
 
 # sources and statistics
 def scan_series_source(spark, d):
@@ -223,6 +227,16 @@ def similarity_network_ssh(spark, d):
     return _with_tables(src.series_embeddings(spark, d), SHINGLE).select("id1", "id2", "n_tables", F.round("sim", 6).alias("sim"))
 
 
+def seeded_clip_codes(spark, d):
+    """Codes at offsets drawn from a seed."""
+    return hashing.substring_codes(src.series_embeddings(spark, d).select("item", encode.clip("vals", SEEDED_CLIP).alias("enc")), SEEDED_CLIP.offsets, SEEDED_CLIP.code_len)
+
+
+def seeded_shingle_codes(spark, d):
+    """Codes under a normal projection and draws from a seed."""
+    return codes_of(encoded(src.series_embeddings(spark, d), SEEDED_SHINGLE), SEEDED_SHINGLE)
+
+
 # matrices and reports
 def _reported(spark, d):
     """Similarities of the sensors of each flight, from the reports: (flight_no, id1, id2, sim)."""
@@ -280,6 +294,7 @@ QUERIES = {
         abc_encode, abc_codes, abc_buckets, abc_candidate_pairs, pair_collision_count, pair_dedup, abc_similarity,
         sax_paa, sax_encode, sax_distance_table, sax_codes, sax_buckets, sax_candidate_pairs, sax_mindist, similarity_network_sax,
         projection_dot, ssh_sketch, ssh_shingle, ssh_minhash_codes, ssh_buckets, ssh_candidate_pairs, ssh_jaccard, similarity_network_ssh,
+        seeded_clip_codes, seeded_shingle_codes,
         similarity_matrix, similarity_normalized, report_lines, report_parse, report_buckets, stream_candidate_pairs,
     )
 }
@@ -329,18 +344,23 @@ _SAX_SIM = (
 sims as (select id1, id2, n_tables, sqrt({SAX.elements} // {SAX.words}) * sqrt(sum(dist * dist)) sim from cnt join sym x on x.item = id1 join sym y on y.item = id2 and x.pos = y.pos join dd on b1 = x.b and b2 = y.b group by 1, 2, 3)
 """
 )
-_PV = ", ".join(f"({j}, {v!r})" for j, v in enumerate(_PROJ))
-_DV = ", ".join(f"({t + 1}, {j}, {x!r})" for t, row in enumerate(_DRAWS) for j, x in enumerate(row))
-_SSH_SQL = f"""with e as (select vec_id item, list_transform(embedding, lambda x: x::double) v from embeddings),
-p as (select item, i pos, list_reduce(list_prepend(0.0::double, list_transform(range(0, 8), lambda j: ([{", ".join(repr(v) for v in _PROJ)}])[j + 1]::double * v[i * {SHINGLE.stride} + j + 1])), lambda a, b: a + b) dot from e, range({SHINGLE.bits}) t(i)),
+
+
+def _ssh_sql(cfg: ShingleConfig) -> str:
+    drawn = ", ".join(f"({t + 1}, {j}, {x!r})" for t, row in enumerate(cfg.draws) for j, x in enumerate(row))
+    return f"""with e as (select vec_id item, list_transform(embedding, lambda x: x::double) v from embeddings),
+p as (select item, i pos, list_reduce(list_prepend(0.0::double, list_transform(range(0, {len(cfg.projection)}), lambda j: ([{", ".join(repr(v) for v in cfg.projection)}])[j + 1]::double * v[i * {cfg.stride} + j + 1])), lambda a, b: a + b) dot from e, range({cfg.bits}) t(i)),
 bit as (select item, pos, case when dot >= 0 then 1 else 0 end b from p),
-gram as (select x.item, x.pos, sum(y.b * power(2, {SHINGLE.shingle_bits} - 1 - (y.pos - x.pos)))::int g from bit x join bit y on x.item = y.item and y.pos between x.pos and x.pos + {SHINGLE.shingle_bits - 1} where x.pos <= {SHINGLE.bits - SHINGLE.shingle_bits} group by 1, 2),
+gram as (select x.item, x.pos, sum(y.b * power(2, {cfg.shingle_bits} - 1 - (y.pos - x.pos)))::int g from bit x join bit y on x.item = y.item and y.pos between x.pos and x.pos + {cfg.shingle_bits - 1} where x.pos <= {cfg.bits - cfg.shingle_bits} group by 1, 2),
 cn as (select item, g, count(*) c from gram group by 1, 2),
-dr(table_id, j, x) as (values {_DV}),
-codes as (select item, table_id::int table_id, min(j)::bigint code from cn join dr on g = floor(x)::int where x - floor(x) < c / {float(SHINGLE.shingles)} group by 1, 2),
+dr(table_id, j, x) as (values {drawn}),
+codes as (select item, table_id::int table_id, min(j)::bigint code from cn join dr on g = floor(x)::int where x - floor(x) < c / {float(cfg.shingles)} group by 1, 2),
 pairs as (select a.table_id, a.code, a.item id1, b.item id2 from codes a join codes b on a.table_id = b.table_id and a.code = b.code and a.item < b.item),
 cnt as (select id1, id2, count(*) n_tables from pairs group by 1, 2)
 """
+
+
+_SSH_SQL = _ssh_sql(SHINGLE)
 _SSH_SIM = (
     _SSH_SQL
     + """, sz as (select item, count(*) n from cn group by 1),
@@ -388,6 +408,8 @@ SQL = {
     "ssh_candidate_pairs": _SSH_SQL + _PAIRS,
     "ssh_jaccard": _SSH_SIM + "select id1, id2, round(sim, 6) sim from sims",
     "similarity_network_ssh": _SSH_SIM + "select id1, id2, n_tables, round(sim, 6) sim from sims",
+    "seeded_clip_codes": _EMB + _code_sql("bit", SEEDED_CLIP.offsets, SEEDED_CLIP.code_len) + "select item, table_id, code from codes",
+    "seeded_shingle_codes": _ssh_sql(SEEDED_SHINGLE) + "select item, table_id, code from codes",
     "similarity_matrix": _SP
     + ", q as (select (id1 - 1) % 28 + 1 a, (id2 - 1) % 28 + 1 b, sim from p where (id1 - 1) // 28 = (id2 - 1) // 28 and sim is not null), m as (select least(a, b) i, greatest(a, b) j, max(sim) s from q where a <> b group by 1, 2) "
     "select x.var_no::bigint i, y.var_no::bigint j, case when x.var_no = y.var_no then 'self' when s is null then 'not compared' else 'compared' end kind, case when x.var_no = y.var_no then 1.0::double else round(s, 6) end as value from sensors x join sensors y on x.var_no <= y.var_no left join m on m.i = x.var_no and m.j = y.var_no",

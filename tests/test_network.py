@@ -180,6 +180,27 @@ def test_sweep(spark, toy):
     assert [(r.method, r.n_pairs) for r in got[:2]] == [("clip", 1), ("sax", 3)] and got[2].method == "shingle"
 
 
+def test_flights_and_matrix_files(spark, tmp_path):
+    """Every flight file under every setting; a report file to a matrix file, with distance 0 told from no comparison."""
+    from skein.plans.sweep import report_to_matrix, sweep_flights
+
+    r = random.Random(4)
+    for name, n in (("f1", 30), ("f2", 24), ("short", 5)):
+        base = [r.uniform(-1, 1) for _ in range(n)]
+        rows = [f"{i},{x:.4f},{x + 0.001:.4f},{r.uniform(-1, 1):.4f},{'' if i == 2 else x}" for i, x in enumerate(base)]
+        (tmp_path / f"{name}.evt").write_text("TS,A,B,C,D\n" + "\n".join(rows) + "\n")
+    configs = [ClipConfig(20, 0.0, [0, 5], 6, 0.1), SaxConfig(20, 0.0, 0.6, 2, 4, [0, 4], 4)]
+    got = {(x.flight, x.trial): (x.method, x.n_pairs) for x in sweep_flights(spark, str(tmp_path / "*.evt"), ["TS", "A", "B", "C", "D"], configs).collect()}
+    assert set(got) == {(f, t) for f in ("f1.evt", "f2.evt", "short.evt") for t in (1, 2)}
+    assert got["short.evt", 1] == ("clip", 0) and 1 <= got["f1.evt", 1][1] <= 3 and got["f2.evt", 2][0] == "sax"
+    (tmp_path / "report.txt").write_text("hash code size is 3\nsim 1 2 0.0\nsim 2 1 0.0\nsim 1 3 2.999\nbucket 1 5 1 2\n")
+    cells = {(x.i, x.j): (x.kind, x.value) for x in report_to_matrix(spark, str(tmp_path / "report.txt"), str(tmp_path / "m"), [1, 2, 3]).collect()}
+    assert cells[1, 2] == ("compared", 0.0) and cells[2, 3] == ("not compared", None) and cells[3, 3] == ("self", 1.0)
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "m")).collect()) == ["1,1.0,0.0,2.999", "2,0.0,1.0,0.0", "3,2.999,0.0,1.0"]
+    scaled = {(x.i, x.j): x.value for x in report_to_matrix(spark, str(tmp_path / "report.txt"), str(tmp_path / "n"), [1, 2, 3], scale=True).collect()}
+    assert scaled[1, 3] == pytest.approx(2.999 / 3.0) and scaled[1, 2] == 0.0
+
+
 class FakeState:
     """List state that lets members go after its time to live, counted in calls."""
 
