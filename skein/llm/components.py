@@ -73,8 +73,10 @@ def star_labels(edges: DataFrame, hot_edges: int = HOT_EDGES, total: int | None
             return materialize(now) if not k else now
         large, small = Observation(), Observation()
         wide = large_star(now, n, hot_edges).observe(large, F.sum(F.col("moved").cast("long")).alias("moved"))
+        if n > max(hot_edges, n // 1000):  # hot items are listed first, so what is rewritten is read twice
+            wide = materialize(wide)
         after = materialize(small_star(wide.select("u", "v"), n, hot_edges).observe(small, F.sum(F.col("moved").cast("long")).alias("moved")).select("u", "v"))
-        release(now)
+        release(now, wide)
         now, n = after, after.__dict__["_skein_rows"]
         if not (large.get["moved"] or 0) and not (small.get["moved"] or 0):
             return now

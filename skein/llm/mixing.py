@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.tokens import count_tokens, default_vocabulary, mix
+from skein.llm.tokens import count_tokens, counter, default_vocabulary, mix
 from skein.session import lookup_join, materialize
 
 BLOCK_TOKENS, SHARD_BLOCKS = 512, 64
@@ -96,12 +96,11 @@ def _first_over(runs: DataFrame, plan: list[dict], by: str, before: dict[str, in
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None, block_tokens: int = BLOCK_TOKENS, shard_blocks: int = SHARD_BLOCKS, total_tokens: int | None = None, seed: int = 17) -> DataFrame:
-    """(shard, slot, source, block, epoch, doc_id, from_token, n_tokens): the mix, as token ranges of documents.
+    """(shard, slot, source, block, epoch, doc_id, from_token, n_tokens, at): the mix, as token ranges of documents from place `at` of their block.
 
     Each source's documents are packed into blocks of block_tokens (the last may be shorter). A shard has shard_blocks
     slots; each slot holds one block, made of the listed ranges. A block is used at most max_repeats times, once per
-    epoch, so no token of a document is used more often. The ranges are the result: tokens are counted and placed, and a
-    reader encodes a document once and cuts it there. Without total_tokens the mix is as large as the caps allow: it ends
+    epoch, so no token of a document is used more often. packed_blocks() turns the ranges into token ids. Without total_tokens the mix is as large as the caps allow: it ends
     with the last shard before the one whose draw would pass a source's cap, and every slot up to there is filled. Documents with a null or untargeted source, and null or empty texts, take no part; a target
     source without any tokens is left out and the other shares are scaled up. Repeated rows count each for themselves.
     Empty tables give no rows.
@@ -166,10 +165,38 @@ def mix_sources(documents: DataFrame, targets: DataFrame, vocabulary: str | None
     pieces = (
         docs.withColumn("block", F.explode(F.sequence(F.expr(f"first div {block_tokens}"), F.expr(f"(first + n_tokens - 1) div {block_tokens}"))))
         .withColumn("lo", F.greatest("first", F.col("block") * block_tokens))
-        .select("source", "block", "doc_id", (F.col("lo") - F.col("first")).alias("from_token"), (F.least(last, (F.col("block") + 1) * block_tokens) - F.col("lo")).alias("n_tokens"))
+        .select("source", "block", "doc_id", (F.col("lo") - F.col("first")).alias("from_token"), (F.least(last, (F.col("block") + 1) * block_tokens) - F.col("lo")).alias("n_tokens"), (F.col("lo") - F.col("block") * block_tokens).alias("at"))
     )
     # the planner takes the drawn slots for few, as they come from a short range: both sides are shuffled
-    return drawn.hint("merge").join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_id", "from_token", "n_tokens")
+    return drawn.hint("merge").join(pieces, ["source", "block"]).select("shard", "slot", "source", "block", "epoch", "doc_id", "from_token", "n_tokens", "at")
+
+
+def packed_blocks(mixed: DataFrame, documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(shard, slot, source, block, tokens): the slots of a mix as packed token ids, in order.
+
+    A document goes once to its ranges and is encoded once, however many slots it fills; ids of documents must be unique.
+    """
+    vocabulary = vocabulary or default_vocabulary()
+    where = F.struct("shard", "slot", "source", "block", "epoch", "from_token", "n_tokens", "at")
+    own = mixed.groupBy("doc_id").agg(F.collect_list(where).alias("ranges"))  # no more than a document has blocks, times its uses
+    wanted = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(own, "doc_id")
+    schema = "shard long, slot int, source string, block long, at long, tokens array<int>"
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(vocabulary)
+        for b in batches:
+            out: list = []
+            for text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids = c.encode(text)
+                out += [(r["shard"], r["slot"], r["source"], r["block"], r["at"], ids[r["from_token"] : r["from_token"] + r["n_tokens"]]) for r in ranges]
+            if out:
+                cols = zip(*out)
+                kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], ["shard", "slot", "source", "block", "at", "tokens"])
+
+    cut = wanted.select("text", "ranges").mapInArrow(encode, schema)
+    parts = F.array_sort(F.collect_list(F.struct("at", "tokens")))  # the ranges of one block
+    return cut.groupBy("shard", "slot", "source", "block").agg(F.flatten(F.transform(parts, lambda x: x["tokens"])).alias("tokens"))
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -64,6 +64,13 @@ def p9_kept(spark, d):
     return got.where("n_tokens > 0").select("source", F.when(near, F.col("goal")).otherwise(F.col("actual_share")).alias("share"), F.when(F.col("most_uses") <= F.col("max_repeats"), F.col("max_repeats")).otherwise(F.col("most_uses")).cast("long").alias("uses"))
 
 
+def p9_blocks(spark, d):
+    """The mix as packed blocks of token ids: how long they are, and a hash of each."""
+    documents = read_table(spark, d, "documents")
+    packed = mixing.packed_blocks(materialize(mixing.mix_sources(documents, read_table(spark, d, "mix_targets"))), documents)
+    return packed.select("shard", "slot", "source", "block", F.size("tokens").alias("n_tokens"), F.xxhash64("tokens").alias("hash"))
+
+
 def p10_pieces(spark, d):
     """Every article in pieces of at most 512 tokens with an overlap of 64."""
     return pieces.split_documents(read_table(spark, d, "documents"))
@@ -85,7 +92,7 @@ def p10_cuts(spark, d):
     return cut.groupBy("cut").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("n_tokens"), F.max("n_tokens").alias("most_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_passages, p8_items, p8_kept, p9_mix, p9_shares, p9_kept, p10_pieces, p10_whole, p10_cuts)}
+QUERIES = {f.__name__: f for f in (p8_found, p8_passages, p8_items, p8_kept, p9_mix, p9_shares, p9_kept, p9_blocks, p10_pieces, p10_whole, p10_cuts)}
 _PASSAGES = """with s as (select doc_id, lower(text) t from documents where text is not null),
 w as (select doc_id, regexp_extract_all(t, '[a-z0-9]+') w, regexp_extract_all(t, '[^a-z0-9]+') g, regexp_matches(t, '^[a-z0-9]') at_once from s),
 dg as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g, unnest(range(1, len(w) - 10)) p from w where len(w) >= 12),

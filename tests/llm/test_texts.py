@@ -122,6 +122,27 @@ def test_mix_meets_shares_and_caps(spark, monkeypatch):
     assert max(uses.values()) <= 3
 
 
+def test_packed_blocks_are_the_tokens(spark):
+    """Blocks of a source in order are the tokens of its documents in their order, and every use of a block is the same."""
+    r = random.Random(6)
+    rows = [(i, "ab"[i % 2], " ".join(r.choice(["alpha", "beta,", "x1", "caf\u00e9"]) for _ in range(r.randrange(1, 90)))) for i in range(80)]
+    docs = docs_of(spark, rows)
+    targets = spark.createDataFrame([("a", 0.3, 3), ("b", 0.7, 3)], "source string, target_share double, max_repeats int")
+    got = mixing.packed_blocks(mixing.mix_sources(docs, targets, block_tokens=32, shard_blocks=8), docs).collect()
+    by: dict = {}
+    for x in got:
+        assert by.setdefault((x.source, x.block), list(x.tokens)) == list(x.tokens) and len(x.tokens) <= 32
+    assert len({(x.shard, x.slot) for x in got}) == len(got)
+    enc, size = tokens.counter(VOCAB).encode, {i: len(tokens.counter(VOCAB).encode(t)) for i, _, t in rows}
+    sizes = spark.createDataFrame([(i, s, size[i]) for i, s, _ in rows], "doc_id long, source string, n_tokens long")
+    places = mixing.place_documents(sizes, 32, 17).collect()
+    text = {i: t for i, _, t in rows}
+    for s in "ab":
+        stream = [z for p in sorted((p for p in places if p.source == s), key=lambda p: p["first"]) for z in enc(text[p.doc_id])]
+        blocks = {b: v for (q, b), v in by.items() if q == s}
+        assert len(blocks) > 10 and all(v == stream[32 * b : 32 * b + 32] for b, v in blocks.items())
+
+
 def test_draws_end_before_a_cap_is_passed(spark, monkeypatch):
     """50 seeds with a binding source of share 0.01: the draws up to the last shard keep every cap, one more would not."""
     plan = [{"source": "small", "share": 0.01, "repeats": 1, "blocks": 40, "cap": 40, "size": 7000}, {"source": "big", "share": 0.99, "repeats": 1, "blocks": 10**6, "cap": 10**6, "size": 7000}]
